@@ -91,6 +91,10 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The text column of a batch with null as the empty text."""
     return pc.fill_null(batch.column(name), "")

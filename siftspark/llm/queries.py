@@ -6,18 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_shards
-from .common import documents
+from . import fingerprints, mixing, packing, probminhash, secret_scan, token_shards, toxicity
+from .common import documents, table
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_shards(spark, documents(spark, sf_dir))
 
 
+def op2_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(spark, documents(spark, sf_dir))
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, documents(spark, sf_dir)).drop("loss")
 
 
+def op5_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
+def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(spark, documents(spark, sf_dir))
+
+
+def op7_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(spark, documents(spark, sf_dir))
+
+
+def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, *toxicity.model(spark, docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
