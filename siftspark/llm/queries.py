@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, packing, probminhash, secret_scan, token_shards, toxicity
+from . import fingerprints, html_content, media, mixing, packing, probminhash, quality, secret_scan, token_shards, toxicity
 from .common import documents, table
 
 
@@ -18,6 +18,11 @@ def op2_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(spark, documents(spark, sf_dir))
 
 
+def op3_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(spark, docs, *quality.model(spark, docs, table(spark, sf_dir, "labels")))
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, documents(spark, sf_dir)).drop("loss")
 
@@ -34,6 +39,14 @@ def op7_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(spark, documents(spark, sf_dir))
 
 
+def op8_html_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(spark, documents(spark, sf_dir))
+
+
 def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, *toxicity.model(spark, docs, table(spark, sf_dir, "labels")))
