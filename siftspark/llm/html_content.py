@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from .dom import Node, attributes, parse
 
-PAGES, SEED, SMOOTH, KEEP = 1500, 3, 0.5, 0.5
+PAGES, SEED, SMOOTH, KEEP = 900, 3, 0.5, 0.5
 #: How much a node's several features, which aren't independent, count together.
 TEMPER = 0.7
 
