@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,27 +12,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import staged, work_dir  # noqa: F401
+
 #: Characters that end a word wherever this package counts or shingles words.
 WORD_SPACE = r"[^\x20\x09-\x0D]+"
 MASK = (1 << 64) - 1
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="siftspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/siftspark/{name}-{uuid.uuid4().hex}"
-
-
-def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut and nothing upstream runs twice."""
-    path = work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and the path in it for a folder that the cluster shares."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
