@@ -1,0 +1,52 @@
+"""Heuristic prose score in [0, 1], and the perplexity scale, as column expressions."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .text import SPACES, share, strip, tokens
+
+STOPWORDS = sorted(
+    set(
+        """about above after again against all although an and any are as at a be because been before being below between both
+    but by can did do does doing done don down during each few for from further had has have having he her here him his how if in
+    into is it its i just me more most my nor not no now of off once only on or other our out over own same she should so some such
+    s than that their them then there these they this those through to too t under until up us very was we were what when where
+    which while whom who why will with you your the""".split()
+    )
+)
+
+
+def band(x: Column, low: float, full: float, last: float, high: float) -> Column:
+    """0 up to `low` and from `high`, 1 in full..last, straight between."""
+    return F.when((x <= low) | (x >= high), 0.0).when(x < full, (x - low) / (full - low)).when(x <= last, 1.0).otherwise((F.lit(high) - x) / (high - last))
+
+
+def with_score(df: DataFrame, text: str, out: str = "_score") -> DataFrame:
+    """Mean of four bands (stop words, word length, words with letters, signs) times penalties for repeated trigrams and
+    lines. Steps are columns of their own, so that no array is made again for each element."""
+    t = F.col(text)
+    trim = "[.,!?;:\"'()\\[\\]]+"
+    keep = df.columns
+    d = df.withColumn("_w", tokens(t))
+    d = d.withColumn("_l", F.transform("_w", lambda w: F.lower(F.regexp_replace(w, f"^{trim}|{trim}$", ""))))
+    d = d.withColumn("_lines", F.filter(F.transform(F.split(t, "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"), strip), lambda x: x != ""))
+    n = F.size("_w")
+    grams = F.transform(F.arrays_zip(F.col("_l").alias("a"), F.slice("_l", 2, F.greatest(n, F.lit(1))).alias("b"), F.slice("_l", 3, F.greatest(n, F.lit(1))).alias("c")), lambda g: F.concat_ws(" ", g["a"], g["b"], g["c"]))
+    d = d.withColumn("_g", F.when(n >= 5, F.slice(grams, 1, n - 2)))
+    stop = share(F.size(F.filter("_l", lambda w: w.isin(STOPWORDS))), n)
+    length = share(F.length(F.array_join("_w", "")), n)
+    alpha = share(F.size(F.filter("_w", lambda w: w.rlike(r"\p{L}"))), n)
+    signs = share(F.length(F.regexp_replace(t, "[\\p{L}\\p{N}]|" + SPACES, "")), F.length(t))
+    base = (band(stop, 0.05, 0.18, 0.55, 0.75) + band(length, 2.0, 3.2, 7.0, 12.0) + band(alpha, 0.4, 0.75, 1.0, 1.001) + band(signs, -0.001, 0.0, 0.06, 0.25)) / 4
+    fresh = lambda c: F.greatest(F.lit(0.0), 1.0 - (1.0 - F.size(F.array_distinct(c)) / F.size(c)) * 2.0)
+    penalty = F.when(n >= 5, fresh("_g")).otherwise(1.0) * F.when(F.size("_lines") > 1, fresh("_lines")).otherwise(1.0)
+    return d.withColumn(out, F.when(n < 3, 0.0).otherwise(F.bround(base * penalty, 4))).select(*keep, out)
+
+
+def perplexity_score(p: Column) -> Column:
+    """10 and less: 1; 10,000 and more: 0; straight in the logarithm between."""
+    return F.when(p <= 10, 1.0).when(p >= 10_000, 0.0).otherwise(F.bround(1.0 - (F.log(p) - math.log(10)) / math.log(1000), 4))

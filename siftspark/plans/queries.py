@@ -1,0 +1,319 @@
+"""One query per operator over the whole tables, and its SQL for the oracle."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import CurationConfig, resolve
+from ..functions import chat, redact, score, text
+from ..operators import decontam, dedup, select, stats
+from . import curate
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = re.sub(r"\b([a-z]) -> ", r"lambda \1: ", sql)
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents")
+
+
+def judged(spark: SparkSession, sf: str, **options) -> DataFrame:
+    return curate.annotate(spark, docs(spark, sf).select("doc_id", "text", "lang"), CurationConfig(text_fields=["text"], **options), "doc_id")
+
+
+# -- SQL parts ---------------------------------------------------------------------------------------------------------
+
+CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F-\x9F]', ' ', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', E'\n', 'g'), '\n{3,}', E'\n\n', 'g'), E' \n\t')"""
+CTE = f"""WITH c AS (SELECT doc_id, lang, source, {CLEAN} AS t FROM documents),
+q AS (SELECT doc_id, lang, t, substring(t, 1, 8192) AS q FROM c),
+w AS (SELECT *, regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_]+') AS ws FROM q),
+g AS (SELECT *, (q <> '' AND length(q) BETWEEN 50 AND 20000 AND len(ws) >= 8 AND len(list_distinct(ws)) / len(ws) >= 0.25
+  AND length(regexp_replace(q, '[^\\x00-\\x7F]', '', 'g')) / length(q) >= 0.85) AS ok FROM w)"""
+_TOK = r"list_filter(string_split_regex({0}, '\s+'), x -> x <> '')"
+_TRIM = """regexp_replace(x, '^[.,!?;:"''()\\[\\]]+|[.,!?;:"''()\\[\\]]+$', '', 'g')"""
+
+
+def _band(x: str, a: float, b: float, c: float, d: float) -> str:
+    return f"CASE WHEN {x} <= {a} OR {x} >= {d} THEN 0.0::DOUBLE WHEN {x} < {b} THEN ({x} - {a}::DOUBLE) / ({b}::DOUBLE - {a}::DOUBLE) WHEN {x} <= {c} THEN 1.0::DOUBLE ELSE ({d}::DOUBLE - {x}) / ({d}::DOUBLE - {c}::DOUBLE) END"
+
+
+_STOP = ", ".join(f"'{w}'" for w in score.STOPWORDS)
+SCORE = f"""s1 AS (SELECT *, {_TOK.format("q")} AS tok, list_filter(list_transform(string_split(q, E'\\n'), x -> trim(x)), x -> x <> '') AS lines FROM g),
+s2 AS (SELECT *, len(tok) AS n, list_transform(tok, x -> lower({_TRIM})) AS low FROM s1),
+s3 AS (SELECT *, CASE WHEN n >= 5 THEN list_transform(range(1, n - 1), i -> low[i] || ' ' || low[i + 1] || ' ' || low[i + 2]) END AS grams,
+  len(list_filter(low, x -> x IN ({_STOP})))::DOUBLE / n AS stop, length(array_to_string(tok, ''))::DOUBLE / n AS size,
+  len(list_filter(tok, x -> regexp_matches(x, '\\p{{L}}')))::DOUBLE / n AS alpha, length(regexp_replace(q, '[\\p{{L}}\\p{{N}}\\s]', '', 'g'))::DOUBLE / length(q) AS signs FROM s2),
+s AS (SELECT *, CASE WHEN n < 3 THEN 0.0 ELSE round_even((({_band("stop", 0.05, 0.18, 0.55, 0.75)}) + ({_band("size", 2.0, 3.2, 7.0, 12.0)}) + ({_band("alpha", 0.4, 0.75, 1.0, 1.001)}) + ({_band("signs", -0.001, 0.0, 0.06, 0.25)})) / 4
+  * (CASE WHEN n >= 5 THEN greatest(0.0, 1.0 - (1.0 - len(list_distinct(grams))::DOUBLE / len(grams)) * 2.0) ELSE 1.0 END)
+  * (CASE WHEN len(lines) > 1 THEN greatest(0.0, 1.0 - (1.0 - len(list_distinct(lines))::DOUBLE / len(lines)) * 2.0) ELSE 1.0 END), 4) END AS score FROM s3)"""
+
+
+def _sql_chain(c: str, rules) -> str:
+    """The redaction chain in RE2, whose word boundaries are ASCII; fixture matches stand beside ASCII."""
+    for java, token, _, _ in rules:
+        p = redact.python_pattern(java).pattern.replace(r"(?<!\w)", r"\b").replace(r"(?!\w)", r"\b")
+        c = f"regexp_replace({c}, '{p.replace(chr(39), chr(39) * 2)}', '{token}', 'g')"
+    return c
+
+
+# -- record steps ------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, length({CLEAN})::BIGINT AS n_clean, md5({CLEAN}) AS clean_md5 FROM documents")
+def p5_clean_text(spark, sf):
+    c = docs(spark, sf).select("doc_id", text.clean_text(F.col("text")).alias("c"))
+    return c.select("doc_id", F.length("c").cast("long").alias("n_clean"), F.md5(F.encode("c", "utf-8")).alias("clean_md5"))
+
+
+@query()
+def p6_strip_html(spark, sf):
+    return read(spark, sf, "pages").select("page_id", text.clean_text(F.col("html"), True).alias("text"))
+
+
+@query(f"SELECT doc_id, CASE WHEN len({_TOK.format('text')}) > 64 THEN array_to_string(({_TOK.format('text')})[1:64], ' ') ELSE text END AS text FROM documents")
+def p7_truncate_tokens(spark, sf):
+    return docs(spark, sf).select("doc_id", text.truncate(F.col("text"), 64).alias("text"))
+
+
+@query("SELECT doc_id, substring(text, 1, 8192) || CASE WHEN length(text) < 8192 THEN ' ' || substring(lang, 1, 8192 - length(text)) ELSE '' END || CASE WHEN length(text) + length(lang) < 8192 THEN ' ' ELSE '' END AS qtext FROM documents")
+def p8_quality_text(spark, sf):
+    d = docs(spark, sf)
+    return d.select("doc_id", text.quality_text(d.schema, ["text", "lang", "n_chars"]).alias("qtext"))
+
+
+@query("SELECT doc_id AS id, text AS body, source FROM documents")
+def p1_p2_drop_rename(spark, sf):
+    return curate.project(docs(spark, sf), CurationConfig(rename={"doc_id": "id", "text": "body"}, drop=["lang", "n_chars"]))
+
+
+@query("SELECT count(*)::BIGINT AS n, sum(CASE WHEN trim(text) = '' OR text IS NULL THEN 1 ELSE 0 END)::BIGINT AS missing_text, sum(CASE WHEN lang IS NULL OR trim(lang) = '' THEN 1 ELSE 0 END)::BIGINT AS missing_lang FROM documents")
+def f2_require_fields(spark, sf):
+    d = docs(spark, sf)
+    missing = lambda n: F.count_if(text.is_missing(F.col(n), d.schema[n].dataType))
+    return d.agg(F.count("*").alias("n"), missing("text").alias("missing_text"), missing("lang").alias("missing_lang"))
+
+
+@query(r"""SELECT doc_id, (length(regexp_replace(substring(text, 1, 8192), '[^{}\[\]();=<>]', '', 'g'))::DOUBLE / length(substring(text, 1, 8192)) > 0.05
+  OR regexp_matches(substring(text, 1, 8192), '(?:^|\n)\s*(?:def |class [\p{L}\p{N}_]+[:(]|function\s*[\p{L}\p{N}_]*\s*\(|import [\p{L}\p{N}_]+|from [\p{L}\p{N}_]+ import |#include\s*<|public static void|(?:const|let|var) [\p{L}\p{N}_]+\s*=)|console\.log\(|require\([''"]|=>\s*\{|;\s*\n')) AS is_code,
+  regexp_matches(substring(text, 1, 8192), '(?i)\b(?:""" + "|".join(text._RUDE) + r""")\b') AS is_profane FROM documents WHERE text <> ''""")
+def f3_f4_code_profanity(spark, sf):
+    q = F.substring("text", 1, 8192)
+    return docs(spark, sf).where("text <> ''").select("doc_id", text.is_code(q).alias("is_code"), text.is_profane(q).alias("is_profane"))
+
+
+@query(f"{CTE} SELECT doc_id, ok FROM g")
+def f5_quality_gates(spark, sf):
+    return judged(spark, sf).select("doc_id", F.col("_reason").isNull().alias("ok"))
+
+
+@query(f"{CTE} SELECT doc_id, lang, CASE WHEN NOT ok THEN 'quality' WHEN lang NOT IN ('en', 'de') THEN 'language' ELSE 'kept' END AS reason FROM g")
+def f7_language_filter(spark, sf):
+    d = docs(spark, sf).select("doc_id", "text", "lang")
+    cfg = CurationConfig(text_fields=["text"], lang_filter=["en", "de"], detector=lambda _: F.col("lang"))
+    return curate.annotate(spark, d, cfg, "doc_id").select("doc_id", "lang", F.coalesce("_reason", F.lit("kept")).alias("reason"))
+
+
+# -- redaction ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, md5({_sql_chain('text', redact.PII)}) AS redacted_md5 FROM documents")
+def r1_r8_redact_pii(spark, sf):
+    return docs(spark, sf).select("doc_id", F.md5(F.encode(redact.redact(F.col("text"), redact.PII), "utf-8")).alias("redacted_md5"))
+
+
+@query()
+def r1_r8_mask_pii(spark, sf):
+    return docs(spark, sf).select("doc_id", redact.redact(F.col("text"), redact.PII, True).alias("text"))
+
+
+@query(r"""SELECT 'email' AS kind, sum(len(regexp_extract_all(text, '(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b')))::BIGINT AS n FROM documents""")
+def r13_pii_counters(spark, sf):
+    rows = docs(spark, sf).select(redact.counts(F.col("text"), redact.PII).alias("_pii"))
+    return stats.pii_totals(rows).where("kind = 'email'")
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '(?i)the', '<T>', 'g') AS text FROM documents")
+def r9_custom_patterns(spark, sf):
+    return docs(spark, sf).select("doc_id", redact.redact(F.col("text"), redact.custom([("the", "<T>", "article")])).alias("text"))
+
+
+@query()
+def r10_entities(spark, sf):
+    names = lambda t: [(i, i + len("Thing"), "PERSON") for i in range(len(t)) if t.startswith("Thing", i)]
+    return docs(spark, sf).select("doc_id", redact.redact_entities(F.col("text"), names).alias("text"))
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '(?:AKIA|ASIA)[A-Z0-9]{16}'))::BIGINT AS aws, len(regexp_extract_all(text, '(?i)(?:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?[a-z0-9+/_.=-]{8,}'))::BIGINT AS generic FROM documents""")
+def r11_secrets(spark, sf):
+    n = redact.counts(F.col("text"), redact.SECRETS)
+    return docs(spark, sf).select("doc_id", n["aws_access_key"].cast("long").alias("aws"), n["generic_secret"].cast("long").alias("generic"))
+
+
+@query()
+def r12_pseudonyms(spark, sf):
+    out, _ = redact.pseudonymize(spark, docs(spark, sf).select("doc_id", "text"), "text", "doc_id", redact.PII)
+    return out
+
+
+# -- chat --------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT conv_id, list(role ORDER BY turn) AS r, list(text ORDER BY turn) AS x FROM conversations GROUP BY conv_id),
+u AS (SELECT *, list_transform(r, y -> lower(y)) AS l, list_filter(list_transform(r, y -> lower(y)), y -> y IN ('user', 'assistant')) AS core FROM t)
+SELECT conv_id, len(r)::BIGINT AS turns, CASE WHEN len(list_filter(range(1, len(l) + 1), i -> l[i] NOT IN ('system', 'user', 'assistant') OR trim(x[i]) = '')) > 0
+  THEN CASE WHEN l[list_filter(range(1, len(l) + 1), i -> l[i] NOT IN ('system', 'user', 'assistant') OR trim(x[i]) = '')[1]] NOT IN ('system', 'user', 'assistant') THEN 'unknown_role' ELSE 'empty_content' END
+  WHEN len(list_filter(l, y -> y = 'system')) > 1 THEN 'multiple_system' WHEN list_contains(l, 'system') AND l[1] <> 'system' THEN 'system_not_first'
+  WHEN NOT list_contains(l, 'assistant') THEN 'no_assistant_reply' WHEN core[1] <> 'user' THEN 'first_not_user'
+  WHEN len(list_filter(range(2, len(core) + 1), i -> core[i] = core[i - 1])) > 0 THEN 'roles_not_alternating' WHEN l[len(l)] <> 'assistant' THEN 'last_not_assistant' ELSE 'ok' END AS reason FROM u""")
+def f8_chat_validation(spark, sf):
+    c = chat.conversations(read(spark, sf, "conversations"))
+    return c.select("conv_id", F.size("messages").cast("long").alias("turns"), F.coalesce(chat.chat_reason(F.col("messages")), F.lit("ok")).alias("reason"))
+
+
+@query("""SELECT doc_id, 'user' AS role1, trim(source || E'\\n' || lang) AS content1, 'assistant' AS role2, text AS content2 FROM documents WHERE text <> ''""")
+def p9_chatml(spark, sf):
+    d = docs(spark, sf).where("text <> ''").select("doc_id", F.col("source").alias("instruction"), F.col("lang").alias("input"), F.col("text").alias("output"))
+    m = d.withColumn("m", chat.chatml(d))
+    return m.select("doc_id", *[F.col("m")[i][f].alias(f"{f}{i + 1}") for i in (0, 1) for f in ("role", "content")])
+
+
+@query("SELECT doc_id, source AS instruction, '' AS input, text AS output FROM documents")
+def p10_instruct(spark, sf):
+    d = docs(spark, sf).select("doc_id", F.col("source").alias("prompt"), F.col("text").alias("completion"))
+    return d.select("doc_id", chat.instruct(d).alias("i")).select("doc_id", "i.*")
+
+
+# -- set steps ---------------------------------------------------------------------------------------------------------
+
+_WORDS = r"list_filter(string_split(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), x -> x <> '')"
+
+
+@query(f"""WITH r AS (SELECT {_WORDS.format("text")} AS w FROM benchmark), rg AS (SELECT DISTINCT least(8, len(w)) AS k, array_to_string(w[i:i + least(8, len(w)) - 1], ' ') AS gram FROM r, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS u(i) WHERE len(w) >= 4),
+d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), k AS (SELECT DISTINCT k FROM rg),
+dg AS (SELECT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM d, k, unnest(range(1, len(w) - k + 2)) AS u(i))
+SELECT doc_id, count(*)::BIGINT AS hits FROM dg JOIN rg USING (k, gram) GROUP BY doc_id""")
+def d1_d4_contamination(spark, sf):
+    grams = decontam.reference_grams(read(spark, sf, "benchmark"))
+    return decontam.contamination(docs(spark, sf), "doc_id", "text", grams)
+
+
+@query(r"SELECT min(doc_id) AS doc_id FROM documents GROUP BY regexp_replace(trim(lower(text), E' \n\t'), '\s+', ' ', 'g')")
+def e1_e2_exact_dedup(spark, sf):
+    d = docs(spark, sf)
+    return dedup.exact_dedup(d, "doc_id", dedup.record_hash(d, ["text"], True)).select("doc_id")
+
+
+@query()
+def e4_fuzzy_dedup(spark, sf):
+    return dedup.fuzzy_dedup(spark, docs(spark, sf), "doc_id", "text").select("doc_id")
+
+
+@query()
+def e5_semantic_dedup(spark, sf):
+    return dedup.semantic_dedup(spark, read(spark, sf, "embeddings"), "vec_id", "embedding").select("vec_id")
+
+
+@query(f"{CTE}, {SCORE} SELECT doc_id, score FROM s")
+def g2_heuristic_score(spark, sf):
+    d = docs(spark, sf).select("doc_id", F.substring(text.clean_text(F.col("text")), 1, 8192).alias("q"))
+    return score.with_score(d, "q", "score").select("doc_id", "score")
+
+
+@query("SELECT doc_id, CASE WHEN p <= 10 THEN 1.0 WHEN p >= 10000 THEN 0.0 ELSE round_even(1.0 - (ln(p) - ln(10)) / ln(1000), 4) END::DOUBLE AS score FROM (SELECT doc_id, (n_chars + 1)::DOUBLE AS p FROM documents)")
+def g3_perplexity_scale(spark, sf):
+    return docs(spark, sf).select("doc_id", score.perplexity_score((F.col("n_chars") + 1).cast("double")).alias("score"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r, count(*) OVER () AS n FROM documents) WHERE r <= greatest(1, round_even(n * 0.1, 0))")
+def f13_top_percent(spark, sf):
+    return select.top_percent(docs(spark, sf), "n_chars", "doc_id", 10).select("doc_id")
+
+
+@query()
+def f11_sample(spark, sf):
+    return select.sample(docs(spark, sf), "doc_id", 0.25, 3).select("doc_id")
+
+
+@query()
+def k9_split(spark, sf):
+    return select.split(docs(spark, sf).select("doc_id"), "doc_id", "train=0.8,valid=0.1,test=0.1", 5)
+
+
+@query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 64)::BIGINT AS shard FROM documents")
+def k8_shards(spark, sf):
+    return select.shards(docs(spark, sf).select("doc_id"), "doc_id", 64).withColumnRenamed("_shard", "shard")
+
+
+@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50 OFFSET 100")
+def s14_skip(spark, sf):
+    return select.skip(docs(spark, sf).select("doc_id"), "doc_id", 100, 50)
+
+
+# -- statistics --------------------------------------------------------------------------------------------------------
+
+_KEEP = f"{CTE}, {SCORE}, f AS (SELECT *, CASE WHEN NOT ok THEN 'quality' WHEN score < 0.3 THEN 'low_score' END AS reason FROM s)"
+
+
+@query(f"""{_KEEP}, x AS (SELECT *, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY reason, t, lang ORDER BY doc_id) > 1 THEN 'duplicate' END AS r2 FROM f)
+SELECT count(*)::BIGINT AS total, count(*) FILTER (r2 IS NULL)::BIGINT AS kept, round_even(count(*) FILTER (r2 IS NULL) * 100.0::DOUBLE / count(*), 4) AS kept_pct, count(*) FILTER (r2 = 'quality')::BIGINT AS quality, count(*) FILTER (r2 = 'low_score')::BIGINT AS low_score, count(*) FILTER (r2 = 'duplicate')::BIGINT AS duplicate FROM x""")
+def a1_funnel(spark, sf):
+    rows = judged(spark, sf, quality_min_score=0.3, deduplicate=True, dedup_fields=["text", "lang"])
+    return stats.funnel(rows).select("total", "kept", "kept_pct", "quality", "low_score", "duplicate")
+
+
+def _edges(c: str, edges) -> str:
+    return "CASE " + " ".join(f"WHEN {c} >= {e} THEN {e}" for e in reversed(edges)) + " END"
+
+
+@query(f"{CTE} SELECT 'chars' AS what, {_edges('length(q)', stats.CHARS)}::INT AS bucket, count(*)::BIGINT AS n FROM g WHERE ok GROUP BY 2 UNION ALL SELECT 'words', {_edges('len(' + _TOK.format('q') + ')', stats.WORDS)}::INT, count(*)::BIGINT FROM g WHERE ok GROUP BY 2")
+def a2_histograms(spark, sf):
+    rows = judged(spark, sf)
+    one = lambda w: stats.histogram(rows, w).select(F.lit(w).alias("what"), "bucket", "n")
+    return one("chars").union(one("words"))
+
+
+@query(f"{_KEEP} SELECT least(9, floor(score * 10))::INT AS bucket, count(*)::BIGINT AS n FROM f WHERE reason IS NULL GROUP BY 1")
+def a3_score_histogram(spark, sf):
+    return stats.score_histogram(judged(spark, sf, quality_min_score=0.3)).drop("mean_score")
+
+
+@query(f"{CTE} SELECT lang, count(*)::BIGINT AS n FROM g WHERE ok GROUP BY lang")
+def a4_languages(spark, sf):
+    return stats.languages(judged(spark, sf).withColumn("_lang", F.col("lang")))
+
+
+@query()
+def a7_audit_samples(spark, sf):
+    return stats.audit_samples(judged(spark, sf, reject_code=True), "doc_id")
+
+
+@query()
+def profile_pretrain(spark, sf):
+    d = docs(spark, sf).select("doc_id", "text", "lang")
+    return curate.curate(spark, d, resolve({"text_fields": ["text"]}, profile="pretrain"), "doc_id", read(spark, sf, "benchmark"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
