@@ -70,7 +70,7 @@ def translate(pattern: str) -> str:
 @arrow_udf(T.StringType())
 def _digits_mask(v: pa.Array) -> pa.Array:
     """International phones keep the last four of their digits."""
-    phone = re.compile(r"\+\d{1,3}[\s\-]?\(?\d{1,4}\)?[\s\-]?\d{1,4}[\s\-]?\d{1,9}\b")
+    phone = python_pattern(next(p for p, _, _, m in PII if m == "+"))
 
     def one(m: re.Match) -> str:
         d = re.sub(r"\D", "", m[0])
