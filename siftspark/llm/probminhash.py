@@ -5,10 +5,10 @@ fall into one of REGISTERS registers; a register keeps the shingle that arrives
 as its next one is later than the latest register of the text. Two registers agree with the probability Jaccard
 similarity of the two weighted sets. Arrival j of a shingle depends on its hash and j alone, so that batches don't matter.
 
-Candidates. Equal texts are collapsed first. BANDS bands of registers put texts into buckets. All pairs are formed in
-buckets of at most BUCKET texts only. A larger bucket is split by a second and a third band; what is large after that
-(texts that agree in three bands) is joined to a few leaders by a minimum that is taken before the shuffle. No group is
-collected and no cross join made. Pairs whose registers agree too seldom are dropped on the signatures.
+Candidates. Equal texts are collapsed first. BANDS bands of registers put texts into buckets. Buckets of
+at most BUCKET texts form all their pairs; those whose registers agree too seldom are dropped on the signatures. A larger
+bucket is cut by a hash into blocks of bounded size, and every two blocks meet in a task that compares all their pairs
+exactly: nothing in a bucket is left out, at a cost that grows with the square of the bucket.
 
 Verification. A pair is a link if the exact similarity of the 5-word shingles is at least `threshold`: the greater one of
 the Jaccard similarity of the sets and the probability Jaccard similarity of the weighted sets (both agree where no
@@ -33,8 +33,10 @@ from .common import lowered, mix, shingle_hashes, staged, texts_of, utf8_buffer,
 
 WORDS, THRESHOLD = 5, 0.8
 REGISTERS, BANDS = 128, 32
+#: Buckets of at most so many texts form their pairs in Spark; larger ones are compared block by block.
 BUCKET = 48
-LEADERS = 4
+#: Texts and bytes of text in a block, about.
+BLOCK, BLOCK_BYTES = 2048, 4 << 20
 #: Pairs whose registers agree less than the threshold by this much can't be links but with odds below 1e-7.
 SLACK = 0.2
 
@@ -116,31 +118,74 @@ def signatures(docs: DataFrame, words: int = WORDS, sign: Callable[[np.ndarray,
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h binary, sig binary")
 
 
-def candidates(sigs: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) that share a bucket."""
+def candidates(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) that share a bucket of at most BUCKET texts; rows (rep, band, key) of the larger buckets."""
     width = 2 * REGISTERS // BANDS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * width + 1, width)))
-    table = sigs.select("rep", bands.alias("bands"))
-    rows = table.select("rep", F.posexplode("bands").alias("band", "key"))
+    rows = sigs.select("rep", F.posexplode(bands).alias("band", "key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # lists are made of small buckets alone
+    small = rows.join(sizes.where(F.col("size") <= BUCKET).hint("shuffle_merge"), "key").groupBy("key").agg(F.collect_set("rep").alias("reps"))
+    pairs = F.expr("flatten(transform(reps, (x, i) -> transform(slice(reps, i + 2, size(reps)), y -> struct(least(x, y) AS a, greatest(x, y) AS b))))")
+    found = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    large = rows.join(sizes.where(F.col("size") > BUCKET).select("key").hint("shuffle_merge"), "key").select("rep", "band", "key")
+    return found, large
+
+
+def block_links(block: pa.Table, threshold: float, words: int = WORDS) -> list[tuple[int, int]]:
+    """The links (a < b) in two blocks of a bucket (rep, own, i, j, band, sig, text), or in one where i = j.
+
+    All pairs are compared exactly. One that shares an earlier band is left to that band's bucket."""
+    block = block.combine_chunks()
+    rep, own = block["rep"].to_numpy(), block["own"].to_numpy()
+    band, across = block["band"][0].as_py(), block["i"][0].as_py() != block["j"][0].as_py()
+    bands = np.frombuffer(b"".join(block["sig"].to_pylist()), "<u8").reshape(len(rep), BANDS)
+    body, off = utf8_buffer(lowered(block["text"].combine_chunks()))
+    sets = [weighted(body[off[i] : off[i + 1]], words) for i in range(len(rep))]
+    size = np.array([len(h) for h, _ in sets])
+    at = np.concatenate(([0], np.cumsum(size)))
+    kinds, ids = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    rate = np.concatenate([1 + np.log(c) for _, c in sets])
+    share = rate / np.repeat(np.add.reduceat(rate, at[:-1]), size)
+    repeats = np.array([c.max() > 1 for _, c in sets])
+    mine, weight = np.zeros(len(kinds), bool), np.zeros(len(kinds))
     found = []
-    for level in (1, 2, 3):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        # lists are made of small buckets alone
-        small = rows.join(sizes.where(F.col("size") <= BUCKET).hint("shuffle_merge"), "key").groupBy("key").agg(F.collect_set("rep").alias("reps"))
-        pairs = F.expr("flatten(transform(reps, (x, i) -> transform(slice(reps, i + 2, size(reps)), y -> struct(least(x, y) AS a, greatest(x, y) AS b))))")
-        found.append(small.select(F.explode(pairs).alias("p")).select("p.a", "p.b"))
-        large = rows.join(sizes.where(F.col("size") > BUCKET).select("key").hint("shuffle_merge"), "key")
-        if level < 3:
-            further = F.expr("filter(transform(bands, (k, i) -> struct(i AS band, k AS more)), s -> s.band > band)")
-            rows = large.join(table, "rep").select("rep", "key",  F.explode(further).alias("s")).select("rep", F.col("s.band").alias("band"), F.xxhash64("key", "s.more").alias("key"))
-    first = [F.min_by("rep", F.xxhash64(F.lit(i), "rep")).alias(f"l{i}") for i in range(LEADERS)]
-    leaders = large.groupBy("key").agg(*first).select("key", F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("ls"))
-    star = large.join(leaders.hint("shuffle_merge"), "key").select("rep", F.explode("ls").alias("l")).where("rep != l")
-    found.append(star.select(F.least("rep", "l").alias("a"), F.greatest("rep", "l").alias("b")))
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out.distinct()
+    for x in range(len(rep) - 1):
+        here, tail, starts = ids[at[x] : at[x + 1]], ids[at[x + 1] :], at[x + 1 : -1] - at[x + 1]
+        mine[here] = True
+        both = np.add.reduceat(mine[tail], starts, dtype=np.int64)
+        mine[here] = False
+        link = both / (size[x] + size[x + 1 :] - both) >= threshold
+        new = ~(bands[x + 1 :, :band] == bands[x, :band]).any(axis=1) & (rep[x + 1 :] != rep[x])
+        if across:
+            new &= own[x + 1 :] != own[x]
+        rest = ~link & new & (repeats[x] | repeats[x + 1 :])
+        if rest.any():
+            # the shares that both have are never less than the probability Jaccard similarity
+            weight[here] = share[at[x] : at[x + 1]]
+            rest &= np.add.reduceat(np.minimum(weight[tail], share[at[x + 1] :]), starts) >= threshold - 1e-9
+            weight[here] = 0
+            for y in np.flatnonzero(rest):
+                link[y] = similarity(sets[x], sets[x + 1 + y])[1] >= threshold
+        found += [(min(rep[x], y), max(rep[x], y)) for y in rep[x + 1 :][link & new]]
+    return found
+
+
+def large_links(large: DataFrame, sigs: DataFrame, bodies: DataFrame, threshold: float, words: int = WORDS) -> DataFrame:
+    """The links (a, b) in buckets of any size: cut into blocks by a hash, and every two blocks compared in a task's memory."""
+
+    def run(block: pa.Table) -> pa.Table:
+        found = block_links(block, threshold, words)
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    long = bodies.select("rep", F.octet_length("text").alias("bytes"))
+    blocks = large.join(long, "rep").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    own = large.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    each = own.select("rep", "key", "band", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    each = each.select("rep", "key", "band", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    wide = each.join(sigs, "rep").join(bodies, "rep")
+    return wide.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
@@ -210,14 +255,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     texts = rows.groupBy("h").agg(F.min("row").alias("rep"), F.min("doc_id").alias("low"), F.any_value("sig").alias("sig"))
     texts = staged(spark, texts, "texts")
     sigs = texts.where("sig IS NOT NULL").select("rep", "sig")
-    pairs = staged(spark, _agreeing(candidates(sigs), sigs, threshold), "pairs")
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    found, large = candidates(sigs)
+    pairs = staged(spark, _agreeing(found, sigs, threshold), "pairs")
+    large = staged(spark, large, "large")
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct()
     wanted = texts.join(paired, "rep").select("h", "low", "rep")
     named = d.withColumn("h", F.unhex(F.sha2("text", 256))).withColumnRenamed("doc_id", "low")
     # a text's rows share h; those of its least doc_id are the same row again
     bodies = named.join(wanted, (named["h"] == wanted["h"]) & named["low"].eqNullSafe(wanted["low"])).select("rep", "text")
     bodies = staged(spark, bodies.groupBy("rep").agg(F.any_value("text").alias("text")), "bodies")
-    links = staged(spark, verified(pairs, bodies, threshold, words), "links")
+    near = verified(pairs, bodies, threshold, words).select("a", "b").union(large_links(large, sigs, bodies, threshold, words))
+    links = staged(spark, near.distinct(), "links")
     roots = components(spark, links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     grouped = texts.select("h", "low", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")

@@ -99,6 +99,21 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty, find):
     assert find(spark, empty).count() == 0
 
 
+def test_copies_that_resemble_only_their_original(spark, monkeypatch):
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(0, " ".join(base), "en", "s", 1)]
+    for i in range(1, 1201):  # 4 replaced words: Jaccard 176 / 216 to the original, about 0.67 to each other
+        w = list(base)
+        for k in (22, 67, 112, 157):
+            w[k + r.randrange(20)] = f"n{i}_{k}"
+        rows.append((i, " ".join(w), "en", "s", 1))
+    monkeypatch.setattr(probminhash, "BLOCK", 100)  # more blocks than one
+    out = probminhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {x["class_id"] for x in out} == {0} and sum(x["keep"] for x in out) == 1
+    assert {x["doc_id"]: x["n_links"] for x in out}[0] == 1200
+
+
 def test_prob_jaccard_estimate():
     r = np.random.default_rng(3)
     h = np.unique(r.integers(0, 1 << 63, 300).astype(np.uint64))
