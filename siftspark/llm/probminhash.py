@@ -4,9 +4,11 @@ Signature. Every distinct shingle of a text, weighted 1 + ln(count), is a Poisso
 fall into one of REGISTERS registers; a register keeps the shingle that arrives first. Arrivals of a shingle end as soon
 as its next one is later than the latest register of the text. Two registers agree with the probability Jaccard
 similarity of the two weighted sets. Arrival j of a shingle depends on its hash and j alone, so that batches don't matter.
+A text that repeats shingles has a second signature of the set alone (all weights 1), which estimates the Jaccard
+similarity; elsewhere the two are the same.
 
-Candidates. Equal texts are collapsed first. BANDS bands of registers put texts into buckets. Buckets of
-at most BUCKET texts form all their pairs; those whose registers agree too seldom are dropped on the signatures. A larger
+Candidates. Equal texts are collapsed first. BANDS bands of registers of either signature put texts into buckets. Buckets of
+at most BUCKET texts form all their pairs; those whose registers agree too seldom in both signatures are dropped. A larger
 bucket is cut by a hash into blocks of bounded size, and every two blocks meet in a task that compares all their pairs
 exactly: nothing in a bucket is left out, at a cost that grows with the square of the bucket.
 
@@ -37,7 +39,7 @@ REGISTERS, BANDS = 128, 32
 BUCKET = 48
 #: Texts and bytes of text in a block, about.
 BLOCK, BLOCK_BYTES = 2048, 4 << 20
-#: Pairs whose registers agree less than the threshold by this much can't be links but with odds below 1e-7.
+#: Pairs whose registers agree less than the threshold by this much, in either measure, can't be links but with odds below 1e-7.
 SLACK = 0.2
 
 
@@ -101,28 +103,33 @@ def prob_sign(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = WORDS, sign: Callable[[np.ndarray, np.ndarray], np.ndarray] = prob_sign) -> DataFrame:
-    """doc_id, h (SHA-256 of the text) and sig (REGISTERS x 16 bits, null without words) for docs (doc_id, text), in place."""
+    """doc_id, h (SHA-256 of the text), sig (REGISTERS x 16 bits, null without words) and plain (that of the set alone, null
+    where it is sig) for docs (doc_id, text), in place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = texts_of(batch)
             raw, at = utf8_buffer(text)
             body, off = utf8_buffer(lowered(text))
-            hs, sigs = [], []
+            hs, sigs, plains = [], [], []
             for i in range(len(text)):
                 hs.append(hashlib.sha256(raw[at[i] : at[i + 1]]).digest())
                 h, c = weighted(body[off[i] : off[i + 1]], words)
                 sigs.append(sign(h, c).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hs, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "h", "sig"])
+                plain = sign(h, np.ones_like(c)).tobytes() if len(h) and c.max() > 1 else None
+                plains.append(plain if plain != sigs[-1] else None)
+            cols = [batch.column("doc_id"), *(pa.array(x, pa.binary()) for x in (hs, sigs, plains))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "sig", "plain"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h binary, sig binary, plain binary")
 
 
 def candidates(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs (a < b) that share a bucket of at most BUCKET texts; rows (rep, band, key) of the larger buckets."""
     width = 2 * REGISTERS // BANDS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * width + 1, width)))
-    rows = sigs.select("rep", F.posexplode(bands).alias("band", "key"))
+    bands = lambda sig: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring(sig, b * width + 1, width)).alias("key")))
+    either = F.when(F.col("plain").isNull(), bands("sig")).otherwise(F.array_union(bands("sig"), bands("plain")))
+    rows = sigs.select("rep", F.explode(either).alias("s")).select("rep", "s.band", "s.key")
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     # lists are made of small buckets alone
     small = rows.join(sizes.where(F.col("size") <= BUCKET).hint("shuffle_merge"), "key").groupBy("key").agg(F.collect_set("rep").alias("reps"))
@@ -133,13 +140,14 @@ def candidates(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def block_links(block: pa.Table, threshold: float, words: int = WORDS) -> list[tuple[int, int]]:
-    """The links (a < b) in two blocks of a bucket (rep, own, i, j, band, sig, text), or in one where i = j.
+    """The links (a < b) in two blocks of a bucket (rep, own, i, j, band, sig, plain, text), or in one where i = j.
 
     All pairs are compared exactly. One that shares an earlier band is left to that band's bucket."""
     block = block.combine_chunks()
     rep, own = block["rep"].to_numpy(), block["own"].to_numpy()
     band, across = block["band"][0].as_py(), block["i"][0].as_py() != block["j"][0].as_py()
-    bands = np.frombuffer(b"".join(block["sig"].to_pylist()), "<u8").reshape(len(rep), BANDS)
+    sig, plain = block["sig"].to_pylist(), block["plain"].to_pylist()
+    sides = [np.frombuffer(b"".join(x), "<u8").reshape(len(rep), BANDS) for x in ([sig] if not any(plain) else [sig, [q or s for q, s in zip(plain, sig)]])]
     body, off = utf8_buffer(lowered(block["text"].combine_chunks()))
     sets = [weighted(body[off[i] : off[i + 1]], words) for i in range(len(rep))]
     size = np.array([len(h) for h, _ in sets])
@@ -156,7 +164,10 @@ def block_links(block: pa.Table, threshold: float, words: int = WORDS) -> list[t
         both = np.add.reduceat(mine[tail], starts, dtype=np.int64)
         mine[here] = False
         link = both / (size[x] + size[x + 1 :] - both) >= threshold
-        new = ~(bands[x + 1 :, :band] == bands[x, :band]).any(axis=1) & (rep[x + 1 :] != rep[x])
+        new = rep[x + 1 :] != rep[x]
+        for p in sides:
+            for q in sides:
+                new &= ~(p[x + 1 :, :band] == q[x, :band]).any(axis=1)
         if across:
             new &= own[x + 1 :] != own[x]
         rest = ~link & new & (repeats[x] | repeats[x + 1 :])
@@ -189,18 +200,19 @@ def large_links(large: DataFrame, sigs: DataFrame, bodies: DataFrame, threshold:
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs of which enough registers agree."""
+    """The pairs of which enough registers agree, in one signature or the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("sig", "sig2"))
-                keep = (x == y).mean(axis=1) >= threshold - SLACK
+                x, y, p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("sig", "sig2", "plain", "plain2"))
+                keep = np.maximum((x == y).mean(axis=1), (p == q).mean(axis=1)) >= threshold - SLACK
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    s = sigs.select("rep", "sig")
-    both = pairs.join(s.withColumnRenamed("rep", "a"), "a").join(s.withColumnRenamed("rep", "b").withColumnRenamed("sig", "sig2"), "b")
-    return both.select("a", "b", "sig", "sig2").mapInArrow(run, "a long, b long")
+    s = sigs.select("rep", "sig", "plain")
+    both = pairs.join(s.withColumnRenamed("rep", "a"), "a").join(s.toDF("b", "sig2", "plain2"), "b")
+    wide = both.select("a", "b", "sig", "sig2", F.coalesce("plain", "sig").alias("plain"), F.coalesce("plain2", "sig2").alias("plain2"))
+    return wide.mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int = WORDS) -> DataFrame:
@@ -252,9 +264,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = staged(spark, signatures(d, words, sign).withColumn("row", F.monotonically_increasing_id()), "signatures")
     # one row a text; rep names it
-    texts = rows.groupBy("h").agg(F.min("row").alias("rep"), F.min("doc_id").alias("low"), F.any_value("sig").alias("sig"))
+    texts = rows.groupBy("h").agg(F.min("row").alias("rep"), F.min("doc_id").alias("low"), F.any_value("sig").alias("sig"), F.any_value("plain").alias("plain"))
     texts = staged(spark, texts, "texts")
-    sigs = texts.where("sig IS NOT NULL").select("rep", "sig")
+    sigs = texts.where("sig IS NOT NULL").select("rep", "sig", "plain")
     found, large = candidates(sigs)
     pairs = staged(spark, _agreeing(found, sigs, threshold), "pairs")
     large = staged(spark, large, "large")

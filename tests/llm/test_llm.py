@@ -108,12 +108,21 @@ def test_copies_that_resemble_only_their_original(spark, monkeypatch):
         for k in (22, 67, 112, 157):
             w[k + r.randrange(20)] = f"n{i}_{k}"
         rows.append((i, " ".join(w), "en", "s", 1))
-    monkeypatch.setattr(probminhash, "BLOCK", 100)  # more blocks than one
+    monkeypatch.setattr(probminhash, "BLOCK", 300)  # more blocks than one
     out = probminhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA)).collect()
     assert {x["class_id"] for x in out} == {0} and sum(x["keep"] for x in out) == 1
     assert {x["doc_id"]: x["n_links"] for x in out}[0] == 1200
 
 
+def test_copies_that_repeat_a_line(spark):
+    rows = []
+    for i in range(12):  # the same set of shingles but for a few; the probability Jaccard similarity is about 0.5
+        w = [f"c{i}_{k}" for k in range(100)]
+        rows += [(2 * i, " ".join(w), "en", "s", 1), (2 * i + 1, " ".join(w + w[-20:] * 1000), "en", "s", 1)]
+    got = {x["doc_id"]: x["class_id"] for x in probminhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in range(24)] == _classes(rows) == [i - i % 2 for i in range(24)]
+
+
 def test_prob_jaccard_estimate():
     r = np.random.default_rng(3)
     h = np.unique(r.integers(0, 1 << 63, 300).astype(np.uint64))
