@@ -80,6 +80,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that df doesn't have, in any case: underscores are put before the wanted ones."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for w in wanted:
+        while w.lower() in taken:
+            w = "_" + w
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The text column of a batch with null as the empty text."""
     return pc.fill_null(batch.column(name), "")

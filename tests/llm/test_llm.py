@@ -3,6 +3,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -21,7 +22,7 @@ ROWS = [(5, "alpha beta gamma delta epsilon zeta", "en", "s1", 3), (3, None, Non
 @pytest.fixture(scope="module")
 def docs(spark):
     d = spark.createDataFrame(ROWS, SCHEMA)
-    for clash in ("row", "rep", "h", "bucket", "size", "order", "task", "guest"):
+    for clash in ("row", "rep", "h", "bucket", "size", "order", "task", "guest", "k", "_k", "n", "copy", "key", "taken", "class_id", "_h", "_id", "keep", "group"):
         d = d.withColumn(clash, F.lit("clash"))
     return d
 
@@ -246,8 +247,9 @@ def test_op7_mixing(spark, docs, empty):
     rows = [(i, "w " * r.randint(0, 60), "en", r.choice(["a"] * 5 + ["b", "c", None]), 1) for i in range(600)]
     d = spark.createDataFrame(rows, SCHEMA)
     got = mixing.mix_sources(spark, d).collect()
-    again = mixing.mix_sources(spark, d.repartition(3)).collect()
-    assert len(got) == 600 == len(again)
+    assert len(got) == 600
+    for other in (d.repartition(3), d.orderBy(F.desc("text"), F.rand(4)).coalesce(1), d.repartition(7, "text")):
+        assert Counter(mixing.mix_sources(spark, other).collect()) == Counter(got)
     source = {x[0]: x[3] for x in rows}
     by = {}
     for x in got:
@@ -260,6 +262,20 @@ def test_op7_mixing(spark, docs, empty):
     assert mixing.mix_sources(spark, docs).count() == len(ROWS) and mixing.mix_sources(spark, empty).count() == 0
 
 
+def test_op7_small_sources_and_hot_copies(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SAME", 16)
+    rows = [(1, "a b c d e", "en", "x", 1), (2, "a b c d e f g", "en", "y", 1)] + [(None, "same words again", "en", "z", 1)] * 100 + [(i, "w " * 40, "en", "z", 1) for i in range(3, 40)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix_sources(spark, d, shard_docs=20).collect()
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    for size in {r["source_size"] for r in got}:
+        own = [r for r in got if r["source_size"] == size]
+        assert sum(r["size"] for r in own) == size and abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1 + 0.05 * own[0]["target"]
+    assert Counter(mixing.mix_sources(spark, d.repartition(5), shard_docs=20).collect()) == Counter(got)
+    step = lambda x: Counter(map(tuple, stages.mix_by_weight(spark, x, SF).collect()))
+    assert step(d) == step(d.repartition(5)) == step(d.orderBy(F.desc("doc_id")).coalesce(1))
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><div class="cookie-notice">We use cookies</div><header><a href=/>Site</a></header>
 <nav><ul><li><a href=/a>Home</a></li></ul></nav><article><h1>Big &amp; news</h1><p>First <b>bold</b>ly said.<br>Next&nbsp;line<p>Second one.<script>var t="</p>";</script>
 <ul><li>point one<li>point two</ul><div class="ad">Buy now</div></article><aside>Related things</aside><section class="comments"><p>I disagree!</p></section><form><label>Mail</label><input></form><footer>&copy; x</footer></body></html>"""
