@@ -8,14 +8,18 @@ A text that repeats shingles has a second signature of the set alone (all weight
 similarity; elsewhere the two are the same.
 
 Candidates. Equal texts are collapsed first. BANDS bands of registers of either signature put texts into buckets. Buckets of
-at most BUCKET texts form all their pairs; those whose registers agree too seldom in both signatures are dropped. A larger
-bucket is cut by a hash into blocks of bounded size, and every two blocks meet in a task that compares all their pairs
-exactly: nothing in a bucket is left out, at a cost that grows with the square of the bucket.
+at most BUCKET texts form all their pairs. In larger buckets each text meets the LEADERS texts that are most like the
+bucket. Pairs whose registers agree too seldom in both signatures are dropped.
 
 Verification. A pair is a link if the exact similarity of the 5-word shingles is at least `threshold`: the greater one of
 the Jaccard similarity of the sets and the probability Jaccard similarity of the weighted sets (both agree where no
 shingle repeats). Classes are the connected components of links; components are found by star contraction in Spark.
 
+The rest of the large buckets. Where texts of a large bucket are still in different classes, all texts outside its
+commonest class are compared exactly with all of other classes, in blocks of bounded size, and what is linked is joined.
+So no two texts with a link in any bucket end in different classes, links inside a class aren't written, and a family of
+any size costs as much as its members, not their pairs; only texts that share a band without being alike cost pairs.
+
 Words are runs of other than ASCII white space in lower case; a text of fewer than five words is one shingle; null counts
 as the empty text, and texts without words are duplicates only of equal texts. Null doc_ids can't be named and keep
 a row each in their text's class, named by the class's least doc_id (null where it has none). Repeated rows
@@ -28,15 +32,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import lowered, mix, shingle_hashes, staged, texts_of, utf8_buffer, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 REGISTERS, BANDS = 128, 32
-#: Buckets of at most so many texts form their pairs in Spark; larger ones are compared block by block.
-BUCKET = 48
+#: Buckets of at most so many texts form their pairs in Spark; larger ones have so many leaders first.
+BUCKET, LEADERS = 48, 4
 #: Texts and bytes of text in a block, about.
 BLOCK, BLOCK_BYTES = 2048, 4 << 20
 #: Pairs whose registers agree less than the threshold by this much, in either measure, can't be links but with odds below 1e-7.
@@ -125,29 +129,41 @@ def signatures(docs: DataFrame, words: int = WORDS, sign: Callable[[np.ndarray,
 
 
 def candidates(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a < b) that share a bucket of at most BUCKET texts; rows (rep, band, key) of the larger buckets."""
+    """Distinct pairs (a < b) that share a bucket of at most BUCKET texts; rows (rep, key, size) of the larger buckets."""
     width = 2 * REGISTERS // BANDS
     bands = lambda sig: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring(sig, b * width + 1, width)).alias("key")))
     either = F.when(F.col("plain").isNull(), bands("sig")).otherwise(F.array_union(bands("sig"), bands("plain")))
-    rows = sigs.select("rep", F.explode(either).alias("s")).select("rep", "s.band", "s.key")
+    rows = sigs.select("rep", F.explode(F.transform(either, lambda s: s["key"])).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     # lists are made of small buckets alone
     small = rows.join(sizes.where(F.col("size") <= BUCKET).hint("shuffle_merge"), "key").groupBy("key").agg(F.collect_set("rep").alias("reps"))
     pairs = F.expr("flatten(transform(reps, (x, i) -> transform(slice(reps, i + 2, size(reps)), y -> struct(least(x, y) AS a, greatest(x, y) AS b))))")
     found = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
-    large = rows.join(sizes.where(F.col("size") > BUCKET).select("key").hint("shuffle_merge"), "key").select("rep", "band", "key")
+    large = rows.join(sizes.where(F.col("size") > BUCKET).hint("shuffle_merge"), "key").select("rep", "key", "size")
     return found, large
 
 
+def medoids(block: pa.Table, most: int) -> list[tuple[int, float]]:
+    """Of the texts of a block (rep, sig), those whose registers agree most with the block's commonest ones, and that share."""
+    rep = block["rep"].to_numpy()
+    sig = np.frombuffer(b"".join(block["sig"].to_pylist()), "<u2").reshape(len(rep), REGISTERS)
+    common = np.empty(REGISTERS, sig.dtype)
+    for i in range(REGISTERS):
+        kinds, n = np.unique(sig[:, i], return_counts=True)
+        common[i] = kinds[np.argmax(n)]
+    share = (sig == common).mean(axis=1)
+    best = np.lexsort((rep, -share))[:most]
+    return list(zip(rep[best].tolist(), share[best].tolist()))
+
+
 def block_links(block: pa.Table, threshold: float, words: int = WORDS) -> list[tuple[int, int]]:
-    """The links (a < b) in two blocks of a bucket (rep, own, i, j, band, sig, plain, text), or in one where i = j.
+    """Links (a < b) between the classes of two blocks of a bucket (rep, class, own, i, j, text), or of one where i = j.
 
-    All pairs are compared exactly. One that shares an earlier band is left to that band's bucket."""
+    Every two texts of different classes are compared exactly; a link joins their classes for the rest of the block, so
+    the links that come out connect whatever any link connects."""
     block = block.combine_chunks()
-    rep, own = block["rep"].to_numpy(), block["own"].to_numpy()
-    band, across = block["band"][0].as_py(), block["i"][0].as_py() != block["j"][0].as_py()
-    sig, plain = block["sig"].to_pylist(), block["plain"].to_pylist()
-    sides = [np.frombuffer(b"".join(x), "<u8").reshape(len(rep), BANDS) for x in ([sig] if not any(plain) else [sig, [q or s for q, s in zip(plain, sig)]])]
+    rep, own, label = block["rep"].to_numpy(), block["own"].to_numpy(), block["class"].to_numpy().copy()
+    across = block["i"][0].as_py() != block["j"][0].as_py()
     body, off = utf8_buffer(lowered(block["text"].combine_chunks()))
     sets = [weighted(body[off[i] : off[i + 1]], words) for i in range(len(rep))]
     size = np.array([len(h) for h, _ in sets])
@@ -159,18 +175,17 @@ def block_links(block: pa.Table, threshold: float, words: int = WORDS) -> list[t
     mine, weight = np.zeros(len(kinds), bool), np.zeros(len(kinds))
     found = []
     for x in range(len(rep) - 1):
+        other = label[x + 1 :] != label[x]
+        if across:
+            other &= own[x + 1 :] != own[x]
+        if not other.any():
+            continue
         here, tail, starts = ids[at[x] : at[x + 1]], ids[at[x + 1] :], at[x + 1 : -1] - at[x + 1]
         mine[here] = True
         both = np.add.reduceat(mine[tail], starts, dtype=np.int64)
         mine[here] = False
         link = both / (size[x] + size[x + 1 :] - both) >= threshold
-        new = rep[x + 1 :] != rep[x]
-        for p in sides:
-            for q in sides:
-                new &= ~(p[x + 1 :, :band] == q[x, :band]).any(axis=1)
-        if across:
-            new &= own[x + 1 :] != own[x]
-        rest = ~link & new & (repeats[x] | repeats[x + 1 :])
+        rest = ~link & other & (repeats[x] | repeats[x + 1 :])
         if rest.any():
             # the shares that both have are never less than the probability Jaccard similarity
             weight[here] = share[at[x] : at[x + 1]]
@@ -178,25 +193,53 @@ def block_links(block: pa.Table, threshold: float, words: int = WORDS) -> list[t
             weight[here] = 0
             for y in np.flatnonzero(rest):
                 link[y] = similarity(sets[x], sets[x + 1 + y])[1] >= threshold
-        found += [(min(rep[x], y), max(rep[x], y)) for y in rep[x + 1 :][link & new]]
+        joined, first = np.unique(label[x + 1 :][link & other], return_index=True)
+        hits = np.flatnonzero(link & other)[first] + x + 1
+        found += [(min(rep[x], rep[y]), max(rep[x], rep[y])) for y in hits]
+        label[np.isin(label, joined)] = label[x]
     return found
 
 
-def large_links(large: DataFrame, sigs: DataFrame, bodies: DataFrame, threshold: float, words: int = WORDS) -> DataFrame:
-    """The links (a, b) in buckets of any size: cut into blocks by a hash, and every two blocks compared in a task's memory."""
+def star_pairs(large: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs (a < b) of each text in large buckets with the leaders of the largest one that holds it.
+
+    Leaders are the texts most like their bucket, so the original of a family is one wherever it lies. A task looks at
+    the registers of one block of a bucket."""
+
+    def run(block: pa.Table) -> pa.Table:
+        best = medoids(block, LEADERS)
+        return pa.table({"key": pa.array([block["key"][0].as_py()] * len(best), pa.int64()), "lead": pa.array([r for r, _ in best], pa.int64()), "share": pa.array([s for _, s in best], pa.float64())})
+
+    home = large.groupBy("rep").agg(F.max(F.struct("size", "key")).alias("at")).select("rep", "at.key", "at.size")
+    cut = home.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)).cast("int"))
+    best = cut.join(sigs.select("rep", "sig"), "rep").select("key", "block", "rep", "sig").groupBy("key", "block").applyInArrow(run, "key long, lead long, share double")
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("share"), "lead"))).where(F.col("rank") <= LEADERS)
+    pairs = home.select("rep", "key").join(best.select("key", "lead"), "key").where("rep != lead")
+    return pairs.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
+
+
+def open_links(spark: SparkSession, large: DataFrame, roots: DataFrame, bodies: DataFrame, threshold: float, words: int = WORDS) -> DataFrame:
+    """The links (a, b) between classes that share a large bucket, as far as they are needed to join the classes.
+
+    Of each bucket with texts of more than one class (node, root), all texts outside its commonest class are compared
+    with all texts of other classes, in blocks of bounded size."""
 
     def run(block: pa.Table) -> pa.Table:
         found = block_links(block, threshold, words)
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    long = bodies.select("rep", F.octet_length("text").alias("bytes"))
-    blocks = large.join(long, "rep").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    own = large.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    each = own.select("rep", "key", "band", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    each = each.select("rep", "key", "band", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    wide = each.join(sigs, "rep").join(bodies, "rep")
-    return wide.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    known = large.select("rep", "key").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "key", F.coalesce("root", "rep").alias("class"))
+    known = staged(spark, known.join(bodies.select("rep", F.octet_length("text").alias("bytes")), "rep"), "classed")
+    per = known.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+    kinds = per.groupBy("key").agg(F.max(F.struct("n", "class", "bytes")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("main.n < n")
+    kinds = kinds.select("key", F.col("main.class").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("few"), blocks(F.col("main.n"), F.col("main.bytes")).alias("many"))
+    own = known.join(kinds, "key").withColumn("own", F.when(F.col("class") == F.col("main"), F.col("few") + F.pmod(F.xxhash64("rep"), F.col("many"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("few"))).cast("int"))
+    meets = F.when(F.col("own") < F.col("few"), F.sequence(F.lit(0), F.col("few") + F.col("many") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") - 1))
+    each = own.select("rep", "key", "class", "own", F.explode(meets).alias("other"))
+    each = each.select("rep", "key", "class", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return each.join(bodies, "rep").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
@@ -239,11 +282,11 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int =
     return wide.select("a", "b", "text", "text2").mapInArrow(run, "a long, b long, jaccard double, prob_jaccard double")
 
 
-def components(spark: SparkSession, links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """node, least node of its component, for links (a, b): large-star and small-star steps on staged tables."""
     edges = staged(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:  # the number of rounds grows with the logarithm of the nodes
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: greater neighbours of u go to its least neighbour; then small star on the rest
@@ -255,12 +298,11 @@ def components(spark: SparkSession, links: DataFrame, rounds: int = 50) -> DataF
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, sign: Callable[[np.ndarray, np.ndarray], np.ndarray] = prob_sign) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, class_id (least doc_id of its class), n_links (links of its text to other
-    texts), keep (true for one row of each class)."""
+    """Per row of docs (doc_id, text): doc_id, class_id (least doc_id of its class), class_texts (different texts in it),
+    keep (true for one row of each class), text_sha256."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = staged(spark, signatures(d, words, sign).withColumn("row", F.monotonically_increasing_id()), "signatures")
     # one row a text; rep names it
@@ -268,23 +310,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     texts = staged(spark, texts, "texts")
     sigs = texts.where("sig IS NOT NULL").select("rep", "sig", "plain")
     found, large = candidates(sigs)
-    pairs = staged(spark, _agreeing(found, sigs, threshold), "pairs")
     large = staged(spark, large, "large")
+    pairs = staged(spark, _agreeing(found.union(star_pairs(large, sigs)).distinct(), sigs, threshold), "pairs")
     paired = pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct()
     wanted = texts.join(paired, "rep").select("h", "low", "rep")
     named = d.withColumn("h", F.unhex(F.sha2("text", 256))).withColumnRenamed("doc_id", "low")
     # a text's rows share h; those of its least doc_id are the same row again
     bodies = named.join(wanted, (named["h"] == wanted["h"]) & named["low"].eqNullSafe(wanted["low"])).select("rep", "text")
     bodies = staged(spark, bodies.groupBy("rep").agg(F.any_value("text").alias("text")), "bodies")
-    near = verified(pairs, bodies, threshold, words).select("a", "b").union(large_links(large, sigs, bodies, threshold, words))
-    links = staged(spark, near.distinct(), "links")
+    links = staged(spark, verified(pairs, bodies, threshold, words).select("a", "b"), "links")
     roots = components(spark, links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    grouped = texts.select("h", "low", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    grouped = grouped.select("h", "low", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    least = grouped.groupBy("root").agg(F.min("low").alias("class_id"))
-    classes = grouped.join(least, "root").select("h", "root", "class_id", "n_links")
+    more = staged(spark, open_links(spark, large, roots, bodies, threshold, words).distinct(), "more")
+    if not more.isEmpty():
+        roots = components(spark, links.union(more))
+    grouped = texts.select("h", "low", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h", "low", F.coalesce("root", "rep").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("low").alias("class_id"), F.count("*").alias("class_texts"))
+    classes = grouped.select("h", "root").join(least, "root")
     out = rows.select("doc_id", "h", "row").join(classes, "h")
     first = out.groupBy("root").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("row"))
     kept = first.select("row", F.lit(True).alias("keep"))
-    return out.join(kept, "row", "left").select("doc_id", "class_id", "n_links", F.coalesce("keep", F.lit(False)).alias("keep"), F.hex("h").alias("text_sha256"))
+    return out.join(kept, "row", "left").select("doc_id", "class_id", "class_texts", F.coalesce("keep", F.lit(False)).alias("keep"), F.hex("h").alias("text_sha256"))

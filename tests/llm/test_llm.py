@@ -112,7 +112,28 @@ def test_copies_that_resemble_only_their_original(spark, monkeypatch):
     monkeypatch.setattr(probminhash, "BLOCK", 300)  # more blocks than one
     out = probminhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA)).collect()
     assert {x["class_id"] for x in out} == {0} and sum(x["keep"] for x in out) == 1
-    assert {x["doc_id"]: x["n_links"] for x in out}[0] == 1200
+    assert {x["class_texts"] for x in out} == {1201}
+
+
+def test_large_buckets_without_leaders(spark, monkeypatch):
+    """Many small families that share a band: the leaders find few links, the blocks the rest."""
+    monkeypatch.setattr(probminhash, "BUCKET", 3)
+    monkeypatch.setattr(probminhash, "BLOCK", 40)
+    monkeypatch.setattr(probminhash, "LEADERS", 1)
+    r = random.Random(9)
+    same, rows = [f"s{i}" for i in range(60)], []
+    for f in range(60):
+        own = [f"f{f}_{i}" for i in range(30)]
+        for k in range(3):  # chains: the first and the last of a family are less alike
+            w = same + own
+            for j in range(k):
+                w = w[: 62 + 9 * j] + [f"x{f}_{j}"] + w[63 + 9 * j :]
+            rows.append((3 * f + k, " ".join(w), "en", "s", 1))
+    r.shuffle(rows)
+    rows.sort(key=lambda x: x[0])
+    got = {x["doc_id"]: x["class_id"] for x in probminhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA)).collect()}
+    root = _classes(rows)
+    assert [got[i] for i in range(len(rows))] == [rows[x][0] for x in root] and len(set(root)) > 1
 
 
 def test_copies_that_repeat_a_line(spark):
