@@ -1,9 +1,12 @@
 """Operator 5: secrets by fixed patterns and by novelty under dictionary-primed zstandard.
 
-Base patterns (kinds assign, access, hex) always count. The method adds spans of kind `novel`: a run of 16 or more
-key-like characters with a digit in it, beside a sensitive word, is appended to its surrounding text and both are
-compressed with a dictionary of identifiers; the extra bytes that it costs are its novelty. A name that code or the
-dictionary explains costs little, a random string its full entropy; NOVEL bits a character or more are reported.
+Base patterns (kinds assign, access, hex) always count. The method adds spans of kind `novel`. A candidate is a run of 16 or
+more key-like characters (10 right after a sensitive name and a sign of assignment) that looks drawn, not written: letters
+with two groups of digits or with jumps of case (a small letter between capitals), and frequent changes between small
+letters, capitals and digits; digits alone (card or phone numbers) are none. A sensitive word (key, secret, token, password, ...) must stand in its line or the
+one before, NEAR characters away at most. The candidate is appended to the AROUND characters on each side of it and both
+are compressed with a dictionary of code's identifiers; the extra bytes that it costs are its novelty. A name that code or
+the dictionary explains costs little, a random string its full entropy; NOVEL bits a character or more are reported.
 
 Spans are code-point offsets, end exclusive. Nulls and edges: a null text counts as empty and has no spans; null doc_ids
 and repeated rows are kept; a text of any length is scanned whole; an empty table gives no rows; other columns are
@@ -20,33 +23,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts_of
+from .identifiers import IDENTIFIERS
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the whole run, as the shorter ones would be dropped
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-SENSITIVE = re.compile(r"key|secret|token|passw|pwd|auth|bearer|credential|private|access|sign|akia|ghp_|xox|sk-|://", re.I | re.A)
-#: Characters around a candidate that count as its context, and bits a character from which it is novel.
-CONTEXT, NOVEL = 48, 3.4
-
-IDENTIFIERS = " ".join(
-    """return import export default function const class public private protected static final void string number boolean
-    async await self this super None True False null undefined lambda yield raise except finally try catch throw new
-    password passwd secret token api_key apikey access_key secret_key client_id client_secret authorization bearer
-    username hostname localhost database connection_string private_key public_key session_id user_id request response
-    configuration environment variable parameter argument exception repository application authentication permission
-    abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef example placeholder changeme
-    getElementById addEventListener createElement toString hashCode equals iterator serialize deserialize encode decode
-    http https www com org net index html json yaml xml utf-8 application/json Content-Type content-length the and of to""".split()
-)
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{10,}")
+#: Sensitive words as words, or as parts of joined and camel-case names.
+SENSITIVE = re.compile(r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:(?:api|access|private|secret)?key|secret|token|password|passwd|passphrase|pwd|auth|authorization|bearer|credential)s?(?![a-z])")
+#: A sensitive word whose value starts here.
+VALUE = re.compile(r"(?i:key|secret|token|password|passwd|passphrase|pwd|auth|authorization|credential)s?[\"']?\x20*[:=]\x20*[\"']?$|(?i:bearer)\x20+$")
+LONG = 16
+#: Characters up to a sensitive word, and around a candidate that it is compressed with; bits a character from which it is novel.
+NEAR, AROUND, NOVEL = 160, 2000, 3.4
+
+
+_LETTER, _DIGITS, _JUMP = re.compile("[A-Za-z]"), re.compile("[0-9]+"), re.compile(r"(?<=[A-Z])[a-z](?=[A-Z])")
+
+
+def drawn(run: str) -> bool:
+    """Whether a run of characters looks like a drawn key: classes are mixed and change often, unlike in joined words."""
+    if run.isdigit() or not _LETTER.search(run):
+        return False
+    groups = len(_DIGITS.findall(run))
+    if groups < 2 and len(_JUMP.findall(run)) + groups < 2:
+        return False
+    kinds = ["0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "" for c in run]
+    return 4 * sum(x != y for x, y in zip(kinds, kinds[1:]) if x and y) >= len(run)
 
 
 def _coder():
     import zstandard
 
-    d = zstandard.ZstdCompressionDict(IDENTIFIERS.encode() * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(level=6, dict_data=d, write_checksum=False, write_content_size=False)
 
 
@@ -74,17 +85,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def sensitive(text: str, start: int, end: int) -> bool:
+    """Whether a sensitive word stands near a candidate: in its line or the one before."""
+    left = text.rfind("\n", 0, max(0, text.rfind("\n", 0, start))) + 1
+    right = text.find("\n", end)
+    right = len(text) if right < 0 else right
+    # words that the window would cut aren't looked at
+    return bool(SENSITIVE.search(text, max(left, start - NEAR), min(right, end + NEAR)))
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of the method that no base span holds."""
     found = []
     for m in RUN.finditer(text):
+        run = m[0]
+        if run[1:].islower() and run.isalpha():  # a word
+            continue
         s, e = m.span()
-        if not any(c in "0123456789" for c in m[0]) or any(a <= s and e <= b for a, _, b in base):
+        if not drawn(run) or any(a <= s and e <= b for a, _, b in base):
             continue
-        before, after = text[max(0, s - CONTEXT) : s], text[e : e + CONTEXT]
-        if not (SENSITIVE.search(before) or SENSITIVE.search(after) or SENSITIVE.search(m[0])):
+        if e - s < LONG and not VALUE.search(text[max(0, s - 40) : s]) or not sensitive(text, s, e):
             continue
-        if novelty(m[0], before, after) >= NOVEL:
+        if novelty(run, text[max(0, s - AROUND) : s], text[e : e + AROUND]) >= NOVEL:
             found.append((s, 3, e))
     return found
 
