@@ -1,7 +1,9 @@
 """Operator 4: vector bin packing of token pieces into training sequences.
 
 A document's ids are cut into pieces of at most `tokens`; pieces are then placed under three limits at once: tokens,
-segments and loss-bearing tokens a sequence. One bin is open at a time; the piece that fits and has the greatest dot
+segments and loss-bearing tokens a sequence. In instruction data, where `prompt_end` names the mark between prompt and
+answer, the ids up to the mark bear no loss; elsewhere all ids but a piece's first do, and a loss limit below `tokens`
+says how full of loss a sequence may be. One bin is open at a time; the piece that fits and has the greatest dot
 product of its demand and the bin's remaining capacity (both as shares of the limits, weighted by the group's mean
 demand) goes in, until nothing fits. Pieces of equal demand are one type with a count, so a choice costs the number of
 types. Placement looks at lengths only; groups hold at most about GROUP pieces that are dealt by a hash of the row, so no
@@ -13,6 +15,7 @@ repeated rows are each packed; an empty table gives no rows; other columns are i
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -68,23 +71,36 @@ def place(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return bins, order
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, tokens: int = TOKENS) -> DataFrame:
-    """Per piece of every document: doc_id, start, length, ids_crc32, doc_tokens, loss (ids that a model predicts: all but
-    the first), and task, row_no, which tell repeated rows apart."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, tokens: int = TOKENS, loss: int | None = None, prompt_end: str | None = None) -> DataFrame:
+    """Per piece of every document: doc_id, start, length, ids_crc32, doc_tokens, loss (ids that a model is to predict: all
+    but the piece's first and those of the prompt), and task, row_no, which tell repeated rows apart.
+
+    A piece has at most `tokens` ids and `loss` (default: as many) loss-bearing ones. prompt_end is a pattern; what a text
+    has up to the end of its first match is its prompt, which is tokenised by itself."""
+    most = tokens if loss is None else loss
+    if tokens < 1 or most < 1:
+        raise ValueError("limits are positive")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.kind).tobytes()
+        mark = re.compile(prompt_end) if prompt_end else None
         row = 0
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss", "task", "row_no")}
             for doc, task, text in zip(batch.column("doc_id").to_pylist(), batch.column("task").to_pylist(), texts_of(batch)):
-                ids = np.frombuffer(enc.packed(text.as_py()) + end, enc.kind).astype("<u4")
-                for s in range(0, len(ids), tokens):
-                    piece = ids[s : s + tokens]
-                    for k, v in zip(out, (doc, s, len(piece), zlib.crc32(piece), len(ids), len(piece) - 1, task, row)):
+                text, prompt = text.as_py(), b""
+                if mark and (m := mark.search(text)):
+                    prompt, text = enc.packed(text[: m.end()]), text[m.end() :]
+                silent = len(prompt) // enc.kind.itemsize
+                ids = np.frombuffer(prompt + enc.packed(text) + end, enc.kind).astype("<u4")
+                s = 0
+                while s < len(ids):
+                    e = min(len(ids), s + tokens, most + max(s + 1, silent))
+                    piece = ids[s:e]
+                    for k, v in zip(out, (doc, s, e - s, zlib.crc32(piece), len(ids), max(0, e - max(s + 1, silent)), task, row)):
                         out[k].append(v)
-                    row += 1
+                    s, row = e, row + 1
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long, task long, row_no long"
@@ -122,10 +138,10 @@ def pack(spark: SparkSession, rows: DataFrame, tokens: int = TOKENS, segments: i
     return dealt.repartitionById(groups, F.col("group").cast("int")).sortWithinPartitions("task", "row_no").select(*names, "group").mapInArrow(run, kind)
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, tokens: int = TOKENS, segments: int = SEGMENTS) -> DataFrame:
+def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, prompt_end: str | None = None) -> DataFrame:
     """Tokenise, cut and place all docs (doc_id, text); one row a piece. Texts are never shuffled."""
-    cut = staged(spark, pieces(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), end_id, tokens), "pieces")
-    return pack(spark, cut, tokens, segments).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss")
+    cut = staged(spark, pieces(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), end_id, tokens, loss, prompt_end), "pieces")
+    return pack(spark, cut, tokens, segments, loss).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def op3_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(spark, documents(spark, sf_dir)).drop("loss")
+    return packing.pack_documents(spark, documents(spark, sf_dir))
 
 
 def op5_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
