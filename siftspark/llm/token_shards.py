@@ -2,31 +2,39 @@
 
 A shard file holds the ids of consecutive documents (ascending doc_id) as one array of 16- or 32-bit little-endian
 integers and the n+1 boundaries as an Elias-Fano sequence: the low bits packed, the high bits in unary with a sample
-of every SAMPLE-th select position. Any boundary is found without a table of 64-bit offsets, in about
-2 + log2(ids per document) bits each.
+of every SAMPLE-th select position. Any boundary is found by select, without a table of 64-bit offsets, in about
+2 + log2(ids per document) bits each. The ascending doc_ids are a second such sequence.
+
+Rows are ranged by Spark over (doc_id, hash of the text, row), so that no doc_id, however frequent, makes a range large; a
+task writes its range file by file, each of at most SHARD_DOCS documents and about SHARD_BYTES of ids, and holds one file.
 
 Nulls and edges: a null text counts as empty, an empty text is its end id alone; a null doc_id sorts first; rows with
-equal doc_id follow each other by text; an empty table gives no shard and no row; other columns are ignored."""
+equal doc_id follow each other by the text's hash; an empty table gives no shard and no row; other columns are ignored."""
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, range_bounds, range_bucket, read_whole, staged, texts_of, work_dir, write_whole
+from .common import read_whole, staged, texts_of, work_dir, write_whole
 from .fast_tokens import encoder, tokenizer_path
 
-MAGIC = b"EFTK1\0\0\0"
-HEAD = struct.Struct("<8sIIQQIIII")
+MAGIC = b"EFTK2\0\0\0"
+HEAD = struct.Struct("<8sIIQQ")
+PART = struct.Struct("<QIQQQ")
 SAMPLE = 256
-#: Documents that one shard should hold.
-SHARD_DOCS = 4096
+#: Documents and bytes of ids that one shard holds at most (a single document may have more bytes).
+SHARD_DOCS, SHARD_BYTES = 4096, 8 << 20
+#: Bytes of text that one task should write.
+TASK_BYTES = 128 << 20
 
 
 class EliasFano:
@@ -71,58 +79,76 @@ class EliasFano:
         return high | (spread.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
 
 
+    def packed(self) -> bytes:
+        return PART.pack(self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)) + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes, at: int) -> tuple[EliasFano, int]:
+        """The sequence that starts at a byte, and the byte after it."""
+        n, bits, n_low, n_high, n_samples = PART.unpack_from(data, at)
+        at += PART.size
+        low, high = np.frombuffer(data, np.uint8, n_low, at), np.frombuffer(data, np.uint8, n_high, at + n_low)
+        at += n_low + n_high
+        return cls(n, bits, low, high, np.frombuffer(data, "<u4", n_samples, at)), at + 4 * n_samples
+
+
 def pack_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: bytes, width: int) -> bytes:
+    """doc_ids ascend, nulls first."""
     bounds = np.concatenate(([0], np.cumsum(lengths)))
-    ef = EliasFano.encode(bounds, int(bounds[-1]))
-    names = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids)
-    head = HEAD.pack(MAGIC, width, ef.low_bits, len(doc_ids), int(bounds[-1]), len(ef.low), len(ef.high), len(ef.samples), 0)
-    return b"".join((head, names, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes(), ids))
+    known = [d for d in doc_ids if d is not None]
+    first = known[0] if known else 0
+    names = EliasFano.encode(np.array([d - first for d in known], np.uint64), known[-1] - first if known else 0)
+    head = HEAD.pack(MAGIC, width, 0, len(doc_ids) - len(known), int(bounds[-1])) + struct.pack("<q", first)
+    return b"".join((head, names.packed(), EliasFano.encode(bounds, int(bounds[-1])).packed(), ids))
 
 
 def open_shard(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     """doc_ids, boundaries and ids of a shard file."""
-    magic, width, bits, docs, total, n_low, n_high, n_samples, _ = HEAD.unpack_from(data)
+    magic, width, _, nulls, total = HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a token shard")
-    at = HEAD.size
-    names = np.frombuffer(data, "<i8", docs, at)
-    nulls = np.frombuffer(data, np.uint8, docs, at := at + 8 * docs)
-    low = np.frombuffer(data, np.uint8, n_low, at := at + docs)
-    high = np.frombuffer(data, np.uint8, n_high, at := at + n_low)
-    samples = np.frombuffer(data, "<u4", n_samples, at := at + n_high)
-    ids = np.frombuffer(data, f"<u{width}", total, at + 4 * n_samples)
-    return [None if z else int(d) for d, z in zip(names, nulls)], EliasFano(docs + 1, bits, low, high, samples), ids
+    (first,) = struct.unpack_from("<q", data, HEAD.size)
+    names, at = EliasFano.unpacked(data, HEAD.size + 8)
+    bounds, at = EliasFano.unpacked(data, at)
+    return [None] * nulls + [first + names.select(i) for i in range(names.n)], bounds, np.frombuffer(data, f"<u{width}", total, at)
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def write_shards(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Tokenise docs (doc_id, text) into shard files in `folder`; returns the manifest (shard, file, docs, ids).
 
-    One range shuffle by doc_id; a shard is one task's range, written whole and moved into place."""
-    rows = docs.count()
-    parts = parts_for(spark, rows, shard_docs)
-    bounds = range_bounds(docs, "doc_id", parts)
+    One range shuffle; each shard is written whole and moved into place. Shards ascend with their documents."""
+    total = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, math.ceil(total["bytes"] / TASK_BYTES), min(4 * spark.sparkContext.defaultParallelism, math.ceil(total["rows"] / 256)))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.kind).tobytes()
         size = enc.kind.itemsize
-        names, lengths, ids, shard = [], [], [], None
+        task, k = TaskContext.get().partitionId(), 0
+        names, lengths, ids, held = [], [], [], 0
+
+        def close() -> pa.RecordBatch:
+            shard = (task << 32) + k
+            file = f"{folder}/shard-{task:06d}-{k:06d}.eft"
+            write_whole(file, pack_shard(names, np.array(lengths, np.int64), b"".join(ids), size))
+            return pa.RecordBatch.from_pylist([{"shard": shard, "file": file, "docs": len(names), "ids": sum(lengths)}], schema)
+
         for batch in batches:
-            if batch.num_rows:
-                shard = batch.column("bucket")[0].as_py()
-            names += batch.column("doc_id").to_pylist()
-            for text in texts_of(batch):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
+                names.append(doc)
                 ids.append(enc.packed(text.as_py()) + end)
                 lengths.append(len(ids[-1]) // size)
+                held += len(ids[-1])
+                if len(names) >= shard_docs or held >= shard_bytes:
+                    yield close()
+                    names, lengths, ids, held, k = [], [], [], 0, k + 1
         if names:
-            file = f"{folder}/shard-{shard:08d}.eft"
-            write_whole(file, pack_shard(names, np.array(lengths, np.int64), b"".join(ids), size))
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "file": file, "docs": len(names), "ids": sum(lengths)}], schema)
+            yield close()
 
-    schema = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
-    placed = docs.select("doc_id", "text", range_bucket(F.col("doc_id"), bounds).alias("bucket"))
-    shards = placed.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard int, file string, docs long, ids long")
-    return staged(spark, shards, "manifest")
+    schema = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("row", F.monotonically_increasing_id())
+    ranged = d.repartitionByRange(tasks, F.asc_nulls_first("doc_id"), "h", "row").sortWithinPartitions(F.asc_nulls_first("doc_id"), "h", "text")
+    return staged(spark, ranged.select("doc_id", "text").mapInArrow(write, "shard long, file string, docs long, ids long"), "manifest")
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -132,19 +158,17 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for file, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
                 names, ef, ids = open_shard(read_whole(file))
-                at = ef.all()
+                at = np.array([ef.select(i) for i in range(ef.n)], np.int64)
                 crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    done, base = [], 0
-    for r in manifest.orderBy("shard").toLocalIterator():
-        done.append((r["file"], base))
-        base += r["ids"]
-    kind = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not done:
-        return spark.createDataFrame([], kind)
-    files = spark.createDataFrame(done, "file string, base long").withColumn("k", F.monotonically_increasing_id())
-    return files.repartition(min(len(done), max(2, spark.sparkContext.defaultParallelism * 4)), "file").mapInArrow(read, kind)
+    # ids before each shard: those of earlier tasks' shards (one line a task), and of earlier ones of its own task
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    m = manifest.withColumn("task", F.shiftright("shard", 32))
+    tasks = m.groupBy("task").agg(F.sum("ids").alias("all")).withColumn("earlier", F.coalesce(F.sum("all").over(before.orderBy("task")), F.lit(0)))
+    own = F.coalesce(F.sum("ids").over(before.partitionBy("task").orderBy("shard")), F.lit(0))
+    files = m.withColumn("own", own).join(tasks.select("task", "earlier"), "task").select("file", (F.col("own") + F.col("earlier")).alias("base"))
+    return files.repartition(4 * spark.sparkContext.defaultParallelism, "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
