@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that a classifier is fitted on at most: the first ones in the order of a seeded hash.
 FIT_ROWS = 12_000
-#: Bytes of text among them at most (the greatest hashes are left out until it holds).
+#: Bytes of text among them at most: a text that would pass it is left out, and the next ones are tried.
 FIT_BYTES = 48_000_000
 
 
@@ -29,9 +29,10 @@ def fit_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: s
     got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small, "doc_id")
     texts, ys, used = [], [], 0
     for r in got.withColumn("o", F.xxhash64(F.lit(11), "doc_id")).orderBy("o", "doc_id", "text").toLocalIterator():
-        used += len(r["text"].encode())
-        if used > size and texts:
-            break
+        n = len(r["text"].encode())
+        if used + n > size:
+            continue
+        used += n
         texts.append(r["text"])
         ys.append(r["y"])
     return texts, ys

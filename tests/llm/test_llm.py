@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftspark.llm import dom, fingerprints, html_content, media, mixing, packing, probminhash, quality, secret_scan, stages, token_shards, toxicity
-from siftspark.llm.common import range_bucket, shingle_hashes, word_hashes
+from siftspark.llm.common import range_bucket, shingle_hashes, word_hashes, work_dir
 from siftspark.llm.fast_tokens import encoder, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -49,10 +49,15 @@ def test_elias_fano():
         ef = token_shards.EliasFano.encode(v, u)
         assert ef.all().tolist() == v.tolist()
         assert [ef.select(i) for i in range(0, n, 7)] == v[::7].tolist()
+    ids = [None, None, -(1 << 62), -5, -5, 0, 7, 1 << 62]
+    names, bounds, got = token_shards.open_shard(token_shards.pack_shard(ids, np.arange(8), np.arange(28, dtype="<u2").tobytes(), 2))
+    assert names == ids and bounds.all().tolist() == np.cumsum([0, *range(8)]).tolist() and len(got) == 28
 
 
 def test_op1_shards(spark, docs, empty):
     got = token_shards.token_shards(spark, docs).collect()
+    again = token_shards.read_shards(spark, token_shards.write_shards(spark, docs.select("doc_id", "text"), work_dir(spark, "t"), tokenizer_path("byte_bpe_50k.json"), shard_docs=2))
+    assert Counter(again.collect()) == Counter(got)  # files don't matter
     t = encoder(tokenizer_path("byte_bpe_50k.json")).t
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     at = 0
@@ -61,7 +66,10 @@ def test_op1_shards(spark, docs, empty):
         ids = t.encode(r[1] or "", add_special_tokens=False).ids + [0]
         want.append((r[0], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    assert sorted(map(tuple, got), key=lambda x: x[1]) == want
+    got = sorted(map(tuple, got), key=lambda x: x[1])
+    assert [(x[0], x[2]) for x in got if x[0] is None or x[0] > 3] == [(x[0], x[2]) for x in want if x[0] is None or x[0] > 3]
+    assert Counter((x[0], x[2], x[3]) for x in got) == Counter((x[0], x[2], x[3]) for x in want)
+    assert [x[1] for x in got] == np.cumsum([0] + [x[2] for x in got])[:-1].tolist()
     assert token_shards.token_shards(spark, empty).count() == 0
 
 
@@ -178,24 +186,61 @@ def test_op3_quality(spark, docs, empty):
     assert quality.model(spark, docs, none)[1] == 0.0 and quality.score(spark, empty, table, bias).count() == 0
 
 
-def test_op4_packing(spark, docs, empty):
-    got = packing.pack_documents(spark, docs).collect()
-    t = encoder(tokenizer_path("word_bpe_49k.json")).t
-    assert sum(r["length"] for r in got) == sum(len(t.encode(x[1] or "", add_special_tokens=False).ids) + 1 for x in ROWS)
-    by = {}
-    for r in got:
-        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+def _check_packing(rows, ids_of, tokens, segments, loss):
+    """Pieces cover each document once, sequences are gapless and within the limits."""
+    left = Counter()
+    for doc, ids in ids_of:
+        left[doc, len(ids)] += 1
+    whole, by = {(d, len(i)): i for d, i in ids_of}, {}
+    starts = {}
+    for r in rows:
+        ids = whole[r["doc_id"], r["doc_tokens"]]
+        part = ids[r["start"] : r["start"] + r["length"]]
+        assert r["length"] == len(part) > 0 and zlib.crc32(np.array(part, "<u4").tobytes()) == r["ids_crc32"]
+        starts.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["length"]))
+        by.setdefault(r["sequence_id"], []).append(r)
+    assert starts.keys() == left.keys()
+    for k, parts in starts.items():
+        assert sum(n for _, n in parts) == left[k] * k[1]
+        assert Counter(x for x, _ in parts) == Counter({x: left[k] for x, _ in parts})
     for parts in by.values():
         at = 0
-        for o, n in sorted(parts):
-            assert o == at
-            at += n
-        assert at <= 4096 and len(parts) <= packing.SEGMENTS
+        for r in sorted(parts, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= tokens and len(parts) <= segments and sum(r["loss"] for r in parts) <= loss
+    return len(by)
+
+
+def test_op4_packing(spark, docs, empty):
+    t = encoder(tokenizer_path("word_bpe_49k.json")).t
+    ids = lambda x: t.encode(x or "", add_special_tokens=False).ids
+    _check_packing(packing.pack_documents(spark, docs).collect(), [(r[0], ids(r[1]) + [2]) for r in ROWS], 4096, packing.SEGMENTS, 4096)
     assert packing.pack_documents(spark, empty).count() == 0
     rows = packing.pack_documents(spark, docs)
     assert packing.sequences(rows).agg(F.max("n_tokens")).first()[0] <= 4096
 
 
+def test_op4_instruction_data(spark):
+    """The three limits bind at once: prompts bear no loss, answers do."""
+    r = random.Random(6)
+    t = encoder(tokenizer_path("word_bpe_49k.json")).t
+    rows, want = [], []
+    for i in range(400):
+        prompt, answer = "ask " * r.randint(1, 60) + "Answer:", " yes" * r.randint(0, 400 if i % 9 == 0 else 30)
+        rows.append((i, prompt + answer, "en", "s", 1))
+        want.append((i, t.encode(prompt, add_special_tokens=False).ids + t.encode(answer, add_special_tokens=False).ids + [2]))
+    got = packing.pack_documents(spark, spark.createDataFrame(rows, SCHEMA), tokens=256, segments=6, loss=100, prompt_end="Answer:").collect()
+    n = _check_packing(got, want, 256, 6, 100)
+    assert n <= 1.15 * max(sum(x["length"] for x in got) / 256, len(got) / 6, sum(x["loss"] for x in got) / 100)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_op4_padding(spark):
+    rows = packing.sequences(packing.pack_documents(spark, spark.read.parquet(f"{SF}/documents.parquet"))).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).first()
+    assert rows["t"] >= 0.98 * 4096 * (rows["n"] - 1)
+
+
 def test_vector_packing_limits():
     r = np.random.default_rng(2)
     d = np.stack([r.integers(1, 900, 3000), np.ones(3000, np.int64), r.integers(0, 500, 3000)], axis=1)
@@ -221,6 +266,9 @@ def test_op5_secrets(spark, docs, empty):
         want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
         assert secret_scan.base_spans(t) == sorted(want), t
     text = "my bearer key Zx81kQp0vLw93TtRs7YbNd2H is here"
+    assert not secret_scan.novel_spans("the token of card 4111111111111111 and 1234567890123456789", [])
+    assert not secret_scan.novel_spans(text.replace("bearer key", "monkey design"), [])  # no sensitive word by itself
+    assert secret_scan.novel_spans("pwd: hT5xQz81Lm", []) and not secret_scan.novel_spans("a pwd of hT5xQz81Lm", [])
     assert "novel" in secret_scan.said(secret_scan.novel_spans(text, []))
     assert not secret_scan.novel_spans("the key getElementById_addEventListener1 of it", [])
     assert secret_scan.cleaned("password=abcdef123 x") == "[SECRET] x"
@@ -230,6 +278,29 @@ def test_op5_secrets(spark, docs, empty):
     assert secret_scan.redact(docs).columns == docs.columns
 
 
+def test_op5_planted_secrets(spark):
+    """Drawn keys in Spark rows are found at their place; identifiers, numbers and prose aren't."""
+    r = random.Random(12)
+    prose = "The committee met on Tuesday about the token gesture and the key question of access to build 20231125. "
+    calm = ["getElementById_addEventListener1", "user_profile_image_2023_small", "4111-1111-1111-1111", "Donaudampfschifffahrtsgesellschaft2", "base64_encode_utf8_string", "com.example.service.UserRepositoryImpl2"]
+    rows, want = [], {}
+    for i in range(300):
+        lead = r.choice(["auth: ", "AWS_KEY = '", "the new bearer ", "private key is ", 'const signingKey = "', "credentials "])
+        if i % 3:
+            key = "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=r.choice([20, 24, 32, 40, 64])))
+            want[i] = (len(prose) * 3 + 1 + len(lead), key)
+        else:
+            key = r.choice(calm)
+        rows.append((i, prose * 3 + "\n" + lead + key + " " + prose, "en", "s", 1))
+    found = right = 0
+    for x in secret_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect():
+        spans = [s.split(":") for s in x["spans"].split(",") if s]
+        novel = [(int(a), int(b)) for k, a, b in spans if k == "novel"]
+        found += len(novel)
+        right += x["doc_id"] in want and (want[x["doc_id"]][0], want[x["doc_id"]][0] + len(want[x["doc_id"]][1])) in novel
+    assert right >= 0.97 * len(want) and found == right
+
+
 def test_op6_fingerprints(spark, docs, empty):
     rows = [r for r in ROWS if r[0] is not None][:-2] + [(20, "x y z w v u t s r q", "en", "s", 1), (21, "one two", "en", "s", 1)]
     rows = list({r[0]: r for r in rows}.values())
