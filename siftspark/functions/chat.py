@@ -78,6 +78,20 @@ def chat_reason(messages: Column, roles=("system", "user", "assistant"), lenient
     return out
 
 
+def record_reason(df: DataFrame, roles=("system", "user", "assistant"), lenient: bool = False, max_tokens: int | None = None) -> Column:
+    """chat_reason of a record's field `messages`, whatever its type: what isn't a list of role and content strings can't hold."""
+    if "messages" not in df.columns:
+        return F.lit("missing_messages")
+    m, kind = F.col("messages"), df.schema["messages"].dataType
+    if not isinstance(kind, T.ArrayType):
+        return F.when(m.isNull(), "missing_messages").otherwise("messages_not_a_list")
+    item = kind.elementType
+    got = {f.name: f.dataType for f in item.fields} if isinstance(item, T.StructType) else {}
+    if not all(isinstance(got.get(x), T.StringType) for x in ("role", "content")):
+        return F.when(m.isNull(), "missing_messages").when(F.size(m) == 0, "empty_conversation").otherwise("bad_message_schema")
+    return chat_reason(m, roles, lenient, max_tokens)
+
+
 def conversations(turns: DataFrame) -> DataFrame:
     """conv_id and its messages in the order of turns."""
     g = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACES, share, strip, tokens
+from .text import SPACES, share, strip
 
 STOPWORDS = sorted(
     set(
@@ -27,24 +27,33 @@ def band(x: Column, low: float, full: float, last: float, high: float) -> Column
 
 def with_score(df: DataFrame, text: str, out: str = "_score") -> DataFrame:
     """Mean of four bands (stop words, word length, words with letters, signs) times penalties for repeated trigrams and
-    lines. Steps are columns of their own, so that no array is made again for each element."""
-    t = F.col(text)
+    lines.
+
+    Patterns run over whole texts, not words, and what is looked at more than once is a column of its own, so that neither
+    an array nor a share is made again for each use."""
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    d = df.withColumn("__t", F.col(f"`{text}`")).withColumn("__one", strip(F.regexp_replace("__t", SPACES + "+", " ")))
     trim = "[.,!?;:\"'()\\[\\]]+"
-    keep = df.columns
-    d = df.withColumn("_w", tokens(t))
-    d = d.withColumn("_l", F.transform("_w", lambda w: F.lower(F.regexp_replace(w, f"^{trim}|{trim}$", ""))))
-    d = d.withColumn("_lines", F.filter(F.transform(F.split(t, "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"), strip), lambda x: x != ""))
-    n = F.size("_w")
-    grams = F.transform(F.arrays_zip(F.col("_l").alias("a"), F.slice("_l", 2, F.greatest(n, F.lit(1))).alias("b"), F.slice("_l", 3, F.greatest(n, F.lit(1))).alias("c")), lambda g: F.concat_ws(" ", g["a"], g["b"], g["c"]))
-    d = d.withColumn("_g", F.when(n >= 5, F.slice(grams, 1, n - 2)))
-    stop = share(F.size(F.filter("_l", lambda w: w.isin(STOPWORDS))), n)
-    length = share(F.length(F.array_join("_w", "")), n)
-    alpha = share(F.size(F.filter("_w", lambda w: w.rlike(r"\p{L}"))), n)
-    signs = share(F.length(F.regexp_replace(t, "[\\p{L}\\p{N}]|" + SPACES, "")), F.length(t))
-    base = (band(stop, 0.05, 0.18, 0.55, 0.75) + band(length, 2.0, 3.2, 7.0, 12.0) + band(alpha, 0.4, 0.75, 1.0, 1.001) + band(signs, -0.001, 0.0, 0.06, 0.25)) / 4
-    fresh = lambda c: F.greatest(F.lit(0.0), 1.0 - (1.0 - F.size(F.array_distinct(c)) / F.size(c)) * 2.0)
-    penalty = F.when(n >= 5, fresh("_g")).otherwise(1.0) * F.when(F.size("_lines") > 1, fresh("_lines")).otherwise(1.0)
-    return d.withColumn(out, F.when(n < 3, 0.0).otherwise(F.bround(base * penalty, 4))).select(*keep, out)
+    low = F.lower(F.regexp_replace("__one", f"(?<![^ ]){trim}|{trim}(?![^ ])", ""))
+    d = d.withColumn("__w", F.when(F.col("__one") == "", F.array().cast("array<string>")).otherwise(F.split(low, " ")))
+    d = d.withColumn("__lines", F.filter(F.transform(F.split("__t", "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"), strip), lambda x: x != ""))
+    d = d.withColumn("__n", F.size("__w"))
+    n = F.col("__n")
+    d = d.select(
+        *keep,
+        "__n",
+        share(F.size(F.filter("__w", lambda w: w.isin(STOPWORDS))), n).alias("__stop"),
+        share(F.length(F.replace("__one", F.lit(" "), F.lit(""))), n).alias("__size"),
+        share(F.regexp_count("__one", F.lit(r"[^ ]*?\p{L}[^ ]*")), n).alias("__alpha"),
+        share(F.length(F.regexp_replace("__t", "[\\p{L}\\p{N}]|" + SPACES, "")), F.length("__t")).alias("__signs"),
+        F.when(n >= 5, F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.try_element_at("__w", i), F.try_element_at("__w", i + 1), F.try_element_at("__w", i + 2)))))).alias("__grams"),
+        F.size("__lines").alias("__all"),
+        F.size(F.array_distinct("__lines")).alias("__own"),
+    )
+    base = (band(F.col("__stop"), 0.05, 0.18, 0.55, 0.75) + band(F.col("__size"), 2.0, 3.2, 7.0, 12.0) + band(F.col("__alpha"), 0.4, 0.75, 1.0, 1.001) + band(F.col("__signs"), -0.001, 0.0, 0.06, 0.25)) / 4
+    fresh = lambda own, of: F.greatest(F.lit(0.0), 1.0 - (1.0 - own / of) * 2.0)
+    penalty = F.when(n >= 5, fresh(F.col("__grams"), n - 2)).otherwise(1.0) * F.when(F.col("__all") > 1, fresh(F.col("__own"), F.col("__all"))).otherwise(1.0)
+    return d.select(*keep, F.when(n < 3, 0.0).otherwise(F.bround(base * penalty, 4)).alias(out))
 
 
 def perplexity_score(p: Column) -> Column:

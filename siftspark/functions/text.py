@@ -5,8 +5,9 @@ space holds the separators that Java's \\s leaves out."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -45,10 +46,22 @@ def strip_html(v: pa.Array) -> pa.Array:
     return pa.array([None if x is None else html_to_text(x) for x in v.to_pylist()], pa.string())
 
 
-@arrow_udf(T.StringType())
-def nfkc(v: pa.Array) -> pa.Array:
-    # pyarrow's utf8_normalize pads texts that aren't ASCII, so the standard library's is taken
-    return pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in v.to_pylist()], pa.string())
+_CONTROL, _BLANKS, _LINES, _GAPS = re.compile(r"[\x00-\x08\x0B-\x1F\x7F-\x9F]"), re.compile(r"[ \t]+"), re.compile(r" ?\n ?"), re.compile(r"\n{3,}")
+
+
+def clean(text: str, html: bool = False) -> str:
+    """NFKC, optional tag removal, control characters to spaces, single spaces, at most one blank line, trimmed."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    if html:
+        text = html_to_text(text)
+    if not text.isprintable():  # line feeds aren't printable either
+        text = _CONTROL.sub(" ", text)
+    if "  " in text or "\t" in text:
+        text = _BLANKS.sub(" ", text)
+    if "\n" in text:
+        text = _GAPS.sub("\n\n", _LINES.sub("\n", text))
+    return text.strip()
 
 
 def strip(c: Column) -> Column:
@@ -56,14 +69,33 @@ def strip(c: Column) -> Column:
 
 
 def clean_text(c: Column, html: bool = False) -> Column:
-    """NFKC, optional tag removal, control characters to spaces, single spaces, at most one blank line, trimmed."""
-    c = nfkc(c)
-    if html:
-        c = strip_html(c)
-    c = F.regexp_replace(c, "[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F]", " ")
-    c = F.regexp_replace(c, "[ \\t]+", " ")
-    c = F.regexp_replace(c, " ?\\n ?", "\n")
-    return strip(F.regexp_replace(c, "\\n{3,}", "\n\n"))
+    """clean() on a column. Spark has no NFKC, so texts go through Arrow in any case; the other steps go with it."""
+
+    @arrow_udf(T.StringType())
+    def run(v: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else clean(x, html) for x in v.to_pylist()], pa.string())
+
+    return run(c)
+
+
+def cut_tokens(text: str, n: int) -> str:
+    words = text.split()
+    return " ".join(words[:n]) if len(words) > n else text
+
+
+def walk(value, kind: T.DataType, f: Callable[[str], str]):
+    """f on every string at any depth of a Python value of this Spark type; keys of maps and other values pass."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StringType):
+        return f(value)
+    if isinstance(kind, T.ArrayType):
+        return [walk(x, kind.elementType, f) for x in value]
+    if isinstance(kind, T.MapType):
+        return [(k, walk(v, kind.valueType, f)) for k, v in value]
+    if isinstance(kind, T.StructType):
+        return {x.name: walk(value[x.name], x.dataType, f) for x in kind.fields}
+    return value
 
 
 def tokens(c: Column) -> Column:
@@ -81,21 +113,21 @@ def map_strings(c: Column, kind: T.DataType, f) -> Column:
     if isinstance(kind, T.StringType):
         return f(c)
     if isinstance(kind, T.ArrayType):
-        return F.transform(c, lambda x: map_strings(x, kind.elementType, f)) if _strings(kind) else c
+        return F.transform(c, lambda x: map_strings(x, kind.elementType, f)) if has_strings(kind) else c
     if isinstance(kind, T.MapType):
-        return F.transform_values(c, lambda _, v: map_strings(v, kind.valueType, f)) if _strings(kind.valueType) else c
-    if isinstance(kind, T.StructType) and _strings(kind):
+        return F.transform_values(c, lambda _, v: map_strings(v, kind.valueType, f)) if has_strings(kind.valueType) else c
+    if isinstance(kind, T.StructType) and has_strings(kind):
         return F.when(c.isNotNull(), F.struct(*[map_strings(c[x.name], x.dataType, f).alias(x.name) for x in kind.fields]))
     return c
 
 
-def _strings(kind: T.DataType) -> bool:
+def has_strings(kind: T.DataType) -> bool:
     if isinstance(kind, T.ArrayType):
-        return _strings(kind.elementType)
+        return has_strings(kind.elementType)
     if isinstance(kind, T.MapType):
-        return _strings(kind.valueType)
+        return has_strings(kind.valueType)
     if isinstance(kind, T.StructType):
-        return any(_strings(x.dataType) for x in kind.fields)
+        return any(has_strings(x.dataType) for x in kind.fields)
     return isinstance(kind, T.StringType)
 
 
@@ -112,6 +144,8 @@ def quality_text(schema: T.StructType, text_fields: Sequence[str] | None = None,
             return F.coalesce(c, F.lit(""))
         if isinstance(kind, T.ArrayType):
             return F.coalesce(F.array_join(F.transform(c, lambda x: flat(x, kind.elementType)), " "), F.lit(""))
+        if isinstance(kind, T.MapType):
+            return F.coalesce(F.array_join(F.transform(F.map_values(c), lambda x: flat(x, kind.valueType)), " "), F.lit(""))
         if isinstance(kind, T.StructType):
             return F.coalesce(F.concat_ws(" ", *[flat(c[x.name], x.dataType) for x in kind.fields]), F.lit(""))
         return F.lit("")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
+#: As in plans.curate, which builds on this module.
+SYSTEM = ("_reason", "_qtext", "_score", "_lang", "_pii", "_ord", "_malformed")
 REASONS = ("malformed", "require_fields", "code", "profanity", "quality", "language", "chat", "contaminated", "low_score", "sampled_out", "duplicate")
 CHARS = (0, 50, 100, 200, 500, 1000, 2000, 5000, 10_000, 20_000)
 WORDS = (0, 5, 10, 25, 50, 100, 250, 500, 1000, 2500)
@@ -57,7 +59,7 @@ def pii_totals(rows: DataFrame) -> DataFrame:
 
 def audit_samples(rows: DataFrame, order: str, most: int = 5, chars: int = 400) -> DataFrame:
     """The first rows of each reason, as JSON cut to so many characters; duplicates and sampled-out rows give none."""
-    said = [c for c in rows.columns if not c.startswith("_")]
+    said = [f"`{c}`" for c in rows.columns if c not in SYSTEM]
     d = rows.where("_reason IS NOT NULL AND _reason NOT IN ('duplicate', 'sampled_out')")
     w = Window.partitionBy("_reason").orderBy(order)
     d = d.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-from ..config import CurationConfig
+from ..config import ConfigError, CurationConfig
 from ..functions import chat, redact, score, text
 from ..operators import decontam, dedup, select
 from ..workspace import staged
 
+#: Columns that a run adds; records can't have fields of these names. Other names with an underscore are fields like any.
+SYSTEM = ("_reason", "_qtext", "_score", "_lang", "_pii", "_ord", "_malformed")
+
+
+def fields_of(d: DataFrame) -> T.StructType:
+    return T.StructType([f for f in d.schema.fields if f.name not in SYSTEM])
+
 
 def project(df: DataFrame, cfg: CurationConfig) -> DataFrame:
     """Dropped fields go, then names change; where two take one name, the later field wins."""
@@ -22,60 +33,93 @@ def project(df: DataFrame, cfg: CurationConfig) -> DataFrame:
     return df.select(*cols.values())
 
 
-def sanitize(df: DataFrame, cfg: CurationConfig, leave: tuple[str, ...]) -> DataFrame:
-    """Clean and redact every string at any depth, by the field's policy; adds the counters _pii if anything is redacted."""
-    pii = redact.PII + redact.custom(cfg.extra_patterns)
-    pii_only = {cfg.rename.get(f, f) for f in cfg.pii_only}
-    no_clean = {cfg.rename.get(f, f) for f in cfg.no_clean}
-    rules = (redact.SECRETS if cfg.redact_secrets else []) + (pii if cfg.remove_pii else [])
-    counted: list[Column] = []
-
-    def one(name: str, c: Column) -> Column:
-        if name not in pii_only:
-            c = text.clean_text(c, cfg.clean_html)
-        if cfg.redact_secrets:
-            c = redact.redact(c, redact.SECRETS, cfg.pii_mask)
-        if cfg.remove_pii:
-            if cfg.ner:
-                c = redact.redact_entities(c, cfg.ner, cfg.ner_entities, cfg.pii_mask)
-            c = redact.redact(c, pii, cfg.pii_mask)
-        return text.truncate(c, cfg.max_tokens) if cfg.max_tokens and name not in pii_only else c
-
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if f.name in leave or f.name in no_clean:
-            cols.append(c)
-            continue
-        if rules and isinstance(f.dataType, T.StringType):
-            counted.append(redact.counts(c if f.name in pii_only else text.clean_text(c, cfg.clean_html), rules, cfg.pii_mask))
-        cols.append(text.map_strings(c, f.dataType, lambda x, n=f.name: one(n, x)).alias(f.name))
-    if counted:
-        kinds = list(dict.fromkeys(r[2] for r in rules))
-        total = F.struct(*[sum((x[k] for x in counted[1:]), counted[0][k]).alias(k) for k in kinds])
-        cols.append(total.alias("_pii"))
-    return df.select(*cols)
+def _field_udf(kind: T.DataType, cfg: CurationConfig, pii_only: bool, kinds: list[str]):
+    """A UDF: a field's value to struct (v: with every string at any depth cleaned and redacted, n: counts by kind, hits: what
+    is parked for a pseudonym)."""
+    secrets = redact.Chain(redact.SECRETS, cfg.pii_mask) if cfg.redact_secrets else None
+    people = redact.Entities(cfg.ner, cfg.ner_entities, cfg.pii_mask) if cfg.remove_pii and cfg.ner else None
+    pii = redact.Chain(redact.PII + redact.custom(cfg.extra_patterns), cfg.pii_mask) if cfg.remove_pii else None
+    steps = [x for x in (secrets, people, pii) if x]
+    clean, html, most, named = not pii_only, cfg.clean_html, cfg.max_tokens, cfg.pii_pseudonymize
+    out = T.StructType([T.StructField("v", kind), T.StructField("n", T.StructType([T.StructField(k, T.IntegerType()) for k in kinds or ["none"]])), T.StructField("hits", redact.HITS)])
+
+    @arrow_udf(out)
+    def run(v: pa.Array) -> pa.Array:
+        bodies, ns, parked = [], [], []
+        for x in v.to_pylist():
+            n: dict[str, int] = {}
+            hits: list[tuple[str, str]] | None = [] if named else None
+
+            def one(t: str, n: dict = n, hits: list | None = hits) -> str:
+                if clean:
+                    t = text.clean(t, html)
+                for step in steps:
+                    t = step(t, n, hits)
+                return text.cut_tokens(t, most) if clean and most else t
+
+            bodies.append(text.walk(x, kind, one))
+            ns.append({k: n.get(k, 0) for k in kinds or ["none"]})
+            parked.append([{"value": a, "kind": b} for a, b in hits or []])
+        cols = [pa.array(bodies, v.type), pa.array(ns, pa.struct([(k, pa.int32()) for k in kinds or ["none"]])), pa.array(parked, pa.list_(pa.struct([("value", pa.string()), ("kind", pa.string())])))]
+        return pa.StructArray.from_arrays(cols, ["v", "n", "hits"])
+
+    return run
+
+
+def sanitize(df: DataFrame, cfg: CurationConfig, leave: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """Clean and redact every string at any depth, by the field's policy, in one pass; adds the counters _pii if anything is
+    redacted. With pseudonyms the second result maps each field to a column of what is parked in it."""
+    rules = (redact.SECRETS if cfg.redact_secrets else []) + (redact.PII + redact.custom(cfg.extra_patterns) if cfg.remove_pii else [])
+    kinds = list(dict.fromkeys([r[2] for r in rules] + (list(cfg.ner_entities) if cfg.remove_pii and cfg.ner else [])))
+    pii_only, no_clean = ({cfg.rename.get(f, f) for f in names} for names in (cfg.pii_only, cfg.no_clean))
+    made: dict[str, str] = {}
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    for i, f in enumerate(df.schema.fields):
+        idle = f.name in no_clean or f.name in pii_only and not kinds
+        if f.name not in leave and f.name not in SYSTEM and not idle and text.has_strings(f.dataType):
+            made[f.name] = f"__s{i}"
+            cols.append(_field_udf(f.dataType, cfg, f.name in pii_only, kinds)(F.col(f"`{f.name}`")).alias(f"__s{i}"))
+    d = df.select(*cols)
+    out = [F.col(f"`{made[c]}`.v").alias(c) if c in made else F.col(f"`{c}`") for c in df.columns]
+    if kinds and made:
+        out.append(F.struct(*[sum((F.col(f"`{s}`.n.`{k}`") for s in made.values()), F.lit(0)).alias(k) for k in kinds]).alias("_pii"))
+    parked = {c: f"__h{s}" for c, s in made.items()} if cfg.pii_pseudonymize and kinds else {}
+    out += [F.col(f"`{made[c]}`.hits").alias(h) for c, h in parked.items()]
+    return d.select(*out), parked
+
+
+@dataclass
+class Run:
+    """The rows of a run with their reasons, and the table (value, kind, n, pseudonym), if there is one."""
+
+    rows: DataFrame
+    pseudonyms: DataFrame | None = None
 
 
 def annotate(spark: SparkSession, df: DataFrame, cfg: CurationConfig, order: str, refs: DataFrame | None = None) -> DataFrame:
+    return run(spark, df, cfg, order, refs).rows
+
+
+def run(spark: SparkSession, df: DataFrame, cfg: CurationConfig, order: str, refs: DataFrame | None = None) -> Run:
     """Every row with _reason (null: kept), _qtext, and _score, _lang, _pii where they apply. `order` is a unique column.
+    A row whose column _malformed (from a reader) is true is no record.
 
     The reason is the first failure in the fixed order of steps, so one CASE holds the record steps; each set-level step
     then looks at the rows that all before it kept."""
     cfg.validate()
-    leave = (order,) if order.startswith("_") else ()
-    d = sanitize(project(df, cfg), cfg, leave)
-    if cfg.remove_pii and cfg.pii_pseudonymize:
-        plain = CurationConfig(**(vars(cfg) | {"remove_pii": False, "redact_secrets": cfg.redact_secrets}))
-        d = sanitize(project(df, cfg), plain, leave)
-        for f in d.schema.fields:
-            if isinstance(f.dataType, T.StringType) and f.name not in cfg.no_clean and not f.name.startswith("_"):
-                d, _ = redact.pseudonymize(spark, d, f.name, order, redact.PII + redact.custom(cfg.extra_patterns))
-    fields = T.StructType([f for f in d.schema.fields if not f.name.startswith("_")])
+    if clash := [c for c in df.columns if c in SYSTEM and c not in (order, "_ord", "_malformed")]:
+        raise ConfigError(f"fields with reserved names: {', '.join(clash)}")
+    table = None
+    d, parked = sanitize(project(df, cfg), cfg, (order,) if order in SYSTEM else ())
+    if parked:
+        d = staged(spark, d, "parked")
+        kinds = [r[2] for r in redact.SECRETS + redact.PII + redact.custom(cfg.extra_patterns)] + list(cfg.ner_entities)
+        d, table = redact.name_values(spark, d, parked, order, kinds)
+    fields = fields_of(d)
     d = d.withColumn("_qtext", text.quality_text(fields, cfg.text_fields))
     d = staged(spark, d, "sanitized")  # Python steps run once
     q = F.col("_qtext")
-    steps: list[tuple[Column, str]] = []
+    steps: list[tuple[Column, str]] = [(F.coalesce(F.col("_malformed"), F.lit(False)), "malformed")] if "_malformed" in d.columns else []
     for name in cfg.require_fields:
         steps.append((text.is_missing(F.col(f"`{name}`"), d.schema[name].dataType) if name in d.columns else F.lit(True), "require_fields"))
     if cfg.reject_code:
@@ -93,12 +137,12 @@ def annotate(spark: SparkSession, df: DataFrame, cfg: CurationConfig, order: str
         reason = F.when(bad, what).otherwise(reason)
     d = d.withColumn("_reason", reason)
     if cfg.format_chatml or cfg.format_instruct:
-        kept = [c for c in d.columns if c.startswith("_") or c == order]
+        kept = list(dict.fromkeys([c for c in d.columns if c in SYSTEM] + [order]))
         new = chat.chatml(d).alias("messages") if cfg.format_chatml else chat.instruct(d).alias("_i")
         d = d.select(*kept, new)
         d = d if cfg.format_chatml else d.select(*kept, "_i.*")
     if cfg.validate_chat:
-        bad = chat.chat_reason(F.col("messages") if "messages" in d.columns else F.lit(None).cast(chat.MESSAGES), cfg.chat_roles, cfg.chat_lenient, cfg.chat_max_tokens)
+        bad = chat.record_reason(d, cfg.chat_roles, cfg.chat_lenient, cfg.chat_max_tokens)
         d = d.withColumn("_reason", F.coalesce("_reason", F.concat(F.lit("chat:"), bad)))
     if refs is not None:
         grams = decontam.reference_grams(refs, n=cfg.decontam_ngram)
@@ -123,19 +167,23 @@ def annotate(spark: SparkSession, df: DataFrame, cfg: CurationConfig, order: str
     elif cfg.fuzzy_dedup:
         d = only(dedup.fuzzy_dedup(spark, open_rows, order, "_qtext", cfg.fuzzy_threshold), "duplicate")
     elif cfg.deduplicate:
-        hidden = tuple(c for c in d.columns if c.startswith("_"))
-        key = dedup.record_hash(open_rows, cfg.dedup_fields, cfg.dedup_normalize, hidden)
+        key = dedup.record_hash(open_rows, cfg.dedup_fields, cfg.dedup_normalize, SYSTEM)
         rows = dedup.durable_dedup(spark, open_rows, order, key, cfg.dedup_state) if cfg.dedup_state else dedup.exact_dedup(open_rows, order, key)
         d = only(rows, "duplicate")
     if cfg.keep_top_percent is not None:
         d = staged(spark, d, "deduplicated")
         d = only(select.top_percent(d.where("_reason IS NULL"), "_score", order, cfg.keep_top_percent), "low_score")
-    return d
+    return Run(d, table)
 
 
-def curate(spark: SparkSession, df: DataFrame, cfg: CurationConfig, order: str, refs: DataFrame | None = None) -> DataFrame:
-    """The kept records without helper columns, with the score field if asked for."""
-    d = annotate(spark, df, cfg, order, refs).where("_reason IS NULL")
+def kept(rows: DataFrame, cfg: CurationConfig) -> DataFrame:
+    """The records that stay, without the run's columns, with the score field if asked for."""
+    d = rows.where("_reason IS NULL")
     if cfg.quality_score_field:
         d = d.withColumn(cfg.quality_score_field, F.col("_score"))
-    return d.select(*[c for c in d.columns if not c.startswith("_")])
+    return d
+
+
+def curate(spark: SparkSession, df: DataFrame, cfg: CurationConfig, order: str, refs: DataFrame | None = None) -> DataFrame:
+    d = kept(annotate(spark, df, cfg, order, refs), cfg)
+    return d.select(*[f"`{c}`" for c in d.columns if c not in SYSTEM])

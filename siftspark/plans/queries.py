@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import CurationConfig, resolve
 from ..functions import chat, redact, score, text
 from ..operators import decontam, dedup, select, stats
+from ..sources.readers import spread
 from . import curate
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:

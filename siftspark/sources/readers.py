@@ -22,6 +22,12 @@ def format_of(path: str, override: str | None = None) -> str:
     return got
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files have fewer splits than these, as files of one row group do; no change elsewhere."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_order(df: DataFrame) -> DataFrame:
     return df.withColumn("_ord", F.monotonically_increasing_id())
 

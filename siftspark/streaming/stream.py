@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import ConfigError, CurationConfig
 from ..functions import text
@@ -17,8 +16,8 @@ def curate_stream(df: DataFrame, cfg: CurationConfig, watermark: tuple[str, str]
     dedup are forgotten after the delay."""
     if cfg.keep_top_percent or cfg.fuzzy_dedup or cfg.semantic_dedup or cfg.pii_pseudonymize:
         raise ConfigError("ranks, near dedup and pseudonyms need the whole set")
-    d = curate.sanitize(curate.project(df, cfg), cfg, ()).drop("_pii")
-    fields = T.StructType([f for f in d.schema.fields if not f.name.startswith("_")])
+    d = curate.sanitize(curate.project(df, cfg), cfg)[0].drop("_pii")
+    fields = curate.fields_of(d)
     d = d.withColumn("_qtext", text.quality_text(fields, cfg.text_fields))
     ok = text.gate(F.col("_qtext"), cfg)
     if cfg.reject_code:
@@ -27,6 +26,6 @@ def curate_stream(df: DataFrame, cfg: CurationConfig, watermark: tuple[str, str]
         ok &= ~text.is_profane(F.col("_qtext"))
     d = d.where(ok)
     if cfg.deduplicate:
-        d = d.withColumn("_key", dedup.record_hash(d, cfg.dedup_fields, cfg.dedup_normalize, ("_qtext",)))
+        d = d.withColumn("_key", dedup.record_hash(d, cfg.dedup_fields, cfg.dedup_normalize, curate.SYSTEM))
         d = d.withWatermark(*watermark).dropDuplicatesWithinWatermark(["_key"]) if watermark else d.dropDuplicates(["_key"])
-    return d.select(*[f.name for f in fields])
+    return d.select(*[f"`{f.name}`" for f in fields])
