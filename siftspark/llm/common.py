@@ -12,7 +12,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workspace import staged, work_dir  # noqa: F401
+from ..workspace import staged, unstage, work_dir  # noqa: F401
 
 #: Characters that end a word wherever this package counts or shingles words.
 WORD_SPACE = r"[^\x20\x09-\x0D]+"

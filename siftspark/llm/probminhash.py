@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lowered, mix, shingle_hashes, staged, texts_of, utf8_buffer, word_hashes
+from .common import lowered, mix, shingle_hashes, staged, texts_of, unstage, utf8_buffer, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 REGISTERS, BANDS = 128, 32
@@ -285,7 +285,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int =
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """node, least node of its component, for links (a, b): large-star and small-star steps on staged tables."""
     edges = staged(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    before, done = None, edges
     while True:  # the number of rounds grows with the logarithm of the nodes
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -293,10 +293,14 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = edges.groupBy("u").agg(F.min("v").alias("m"))
         edges = edges.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        edges = staged(spark, edges, "edges")
+        last, edges = done, staged(spark, edges, "edges")
+        unstage(last)
+        done = edges
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots._staged_at = edges._staged_at
+            return roots
         before = now
 
 
@@ -322,7 +326,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     roots = components(spark, links)
     more = staged(spark, open_links(spark, large, roots, bodies, threshold, words).distinct(), "more")
     if not more.isEmpty():
-        roots = components(spark, links.union(more))
+        roots, old = components(spark, links.union(more)), roots
+        unstage(old)
+    unstage(large, pairs, bodies, links, more)
     grouped = texts.select("h", "low", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h", "low", F.coalesce("root", "rep").alias("root"))
     least = grouped.groupBy("root").agg(F.min("low").alias("class_id"), F.count("*").alias("class_texts"))
     classes = grouped.select("h", "root").join(least, "root")
