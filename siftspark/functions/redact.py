@@ -229,14 +229,16 @@ def name_values(spark: SparkSession, rows: DataFrame, parked: dict[str, str], or
     One value has one name in all fields, at all depths; numbers follow the first occurrence by (order, field, place).
     Returns rows without the columns of hits, and the table of names."""
     o, at, names = "__order", "__at", "__names"
-    one = [F.transform(F.coalesce(F.col(f"`{h}`"), F.array().cast(HITS)), lambda x, i=i: F.struct(F.lit(i).alias("f"), x["value"].alias("value"), x["kind"].alias("kind"))) for i, h in enumerate(parked.values())]
+    of = lambda i: lambda x: F.struct(F.lit(i).alias("f"), x["value"].alias("value"), x["kind"].alias("kind"))
+    is_ = lambda i: lambda x: x["f"] == i
+    one = [F.transform(F.coalesce(F.col(f"`{h}`"), F.array().cast(HITS)), of(i)) for i, h in enumerate(parked.values())]
     hits = rows.select(F.col(f"`{order}`").alias(o), F.posexplode(F.concat(*one)).alias("pos", "h")).select(o, "pos", "h.f", "h.value", "h.kind")
     hits = staged(spark, hits.withColumn("at", F.struct(F.col(o), F.col("pos"))), "hits")
     table = staged(spark, name_table(spark, hits.select("at", "value", "kind"), kinds), "names")
     per = hits.join(table.select("value", "pseudonym"), "value").groupBy(o).agg(F.array_sort(F.collect_list(F.struct("pos", "f", "pseudonym"))).alias(names))
     d = rows.join(per, rows[f"`{order}`"] == per[o], "left")
     for i, (c, h) in enumerate(parked.items()):
-        mine = F.transform(F.filter(names, lambda x, i=i: x["f"] == i), lambda x: x["pseudonym"])
+        mine = F.transform(F.filter(names, is_(i)), lambda x: x["pseudonym"])
         d = d.withColumn(c, restored(rows.schema[c].dataType)(F.col(f"`{c}`"), mine))
     return d.drop(o, at, names, *parked.values()), table
 

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from ..config import ConfigError
+from ..workspace import staged
 
 _SPLIT = re.compile(r"[\W_]+")
-#: Reference windows up to which they are broadcast (16 bytes each); more are joined by shuffle.
-BROADCAST_GRAMS = 2_000_000
+#: Bytes of hashes of reference windows (8 each) up to which every worker gets them.
+BROADCAST_BYTES = 64 << 20
 
 REGISTRY: dict[str, tuple[str, list[tuple[str, str]], list[str]]] = {
     "arc": ("allenai/ai2_arc", [("ARC-Easy", "test"), ("ARC-Challenge", "test")], ["question"]),
@@ -41,15 +45,27 @@ def words_of(text: str) -> list[str]:
     return _SPLIT.sub(" ", text.lower()).split()
 
 
-def windows(sizes: list[int]):
-    """A UDF: the windows of each size in a text, as [(k, gram)], repeats kept."""
+@arrow_udf(T.LongType())
+def _hashes(v: pa.Array) -> pa.Array:
+    return pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in v.to_pylist()], pa.int64())
+
+
+def windows(sizes: list[int], known=None):
+    """A UDF: the windows of each size in a text, as [(k, gram)], repeats kept; with a broadcast sorted array of hashes only
+    those whose hash is in it."""
 
     @arrow_udf("array<struct<k:int,gram:string>>")
     def run(v: pa.Array) -> pa.Array:
         out = []
         for text in v.to_pylist():
             w = words_of(text or "")
-            out.append([{"k": k, "gram": " ".join(w[i : i + k])} for k in sizes for i in range(len(w) - k + 1)])
+            got = [(k, " ".join(w[i : i + k])) for k in sizes for i in range(len(w) - k + 1)]
+            if known is not None and got:
+                table = known.value
+                h = np.array([xxhash.xxh64_intdigest(g) - (1 << 63) for _, g in got], np.int64)
+                at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+                got = [got[i] for i in np.flatnonzero(table[at] == h)]
+            out.append([{"k": k, "gram": g} for k, g in got])
         return pa.array(out, pa.list_(pa.struct([("k", pa.int32()), ("gram", pa.string())])))
 
     return run
@@ -73,11 +89,18 @@ def reference_grams(refs: DataFrame, text: str = "text", n: int = 8, min_words:
 
 
 def contamination(docs: DataFrame, key: str, text: str, grams: DataFrame, min_hits: int = 1) -> DataFrame:
-    """(key, hits) of the docs with min_hits or more window positions in the references."""
-    grams = grams.cache()
-    sizes = sorted(r["k"] for r in grams.select("k").distinct().collect())  # at most n of them
-    if not sizes:
+    """(key, hits) of the docs with min_hits or more window positions in the references.
+
+    While 8 bytes a reference window are within BROADCAST_BYTES, the workers hold their sorted hashes and only windows
+    that hit one leave them, to be compared by the words themselves; beyond that, all windows are joined by shuffle."""
+    spark = docs.sparkSession
+    grams = staged(spark, grams, "grams")
+    counted = {r["k"]: r["n"] for r in grams.groupBy("k").agg(F.count("*").alias("n")).collect()}  # a line a window size
+    if not counted:
         raise ConfigError("there is no usable reference")
-    small = grams.count() <= BROADCAST_GRAMS
-    hit = docs.select(key, F.explode(windows(sizes)(F.col(text))).alias("g")).select(key, "g.k", "g.gram")
-    return hit.join(F.broadcast(grams) if small else grams, ["k", "gram"]).groupBy(key).agg(F.count("*").alias("hits")).where(F.col("hits") >= min_hits)
+    known = None
+    if 8 * sum(counted.values()) <= BROADCAST_BYTES:
+        hashed = grams.select(_hashes(F.col("gram")).alias("h")).toArrow()["h"].to_numpy()
+        known = spark.sparkContext.broadcast(np.unique(hashed))
+    hit = docs.select(F.col(f"`{key}`"), F.explode(windows(sorted(counted), known)(F.col(f"`{text}`"))).alias("g")).select(f"`{key}`", "g.k", "g.gram")
+    return hit.join(grams, ["k", "gram"]).groupBy(key).agg(F.count("*").alias("hits")).where(F.col("hits") >= min_hits)

@@ -33,21 +33,25 @@ def record_hash(df: DataFrame, fields: list[str] | None = None, normalize: bool
 
 def exact_dedup(df: DataFrame, order: str, key: Column) -> DataFrame:
     """The first row of each key. Only ranks 1 leave the map side (window group limit); no row is picked at random."""
-    d = df.withColumn("_key", key).withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy(order)))
-    return d.where("_rank = 1").drop("_key", "_rank")
+    d = df.withColumn("__key", key).withColumn("__rank", F.row_number().over(Window.partitionBy("__key").orderBy(order)))
+    return d.where("__rank = 1").drop("__key", "__rank")
 
 
-def durable_dedup(spark: SparkSession, df: DataFrame, order: str, key: Column, state: str) -> DataFrame:
-    """exact_dedup that also leaves out keys of earlier runs, and adds this run's to the Parquet folder `state`."""
-    rows = staged(spark, exact_dedup(df.withColumn("_hash", key), order, F.col("_hash")), "fresh")
-    try:
-        seen = spark.read.schema("_hash string").parquet(state)
-        rows = staged(spark, rows.join(seen.distinct(), "_hash", "left_anti"), "fresh")
-    except Exception as e:  # the first run has no state
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    rows.select("_hash").write.mode("append").parquet(state)
-    return rows.drop("_hash")
+def durable_dedup(spark: SparkSession, df: DataFrame, order: str, key: Column, state: str) -> tuple[DataFrame, DataFrame]:
+    """exact_dedup that also leaves out keys of earlier runs, which the Parquet folder `state` holds; and this run's keys.
+
+    The keys aren't in the state before commit_keys(): a run that dies before its output is written can be repeated."""
+    rows = exact_dedup(df.withColumn("__hash", key), order, F.col("__hash"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(state)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        rows = rows.join(spark.read.schema("__hash string").parquet(state).distinct(), "__hash", "left_anti")
+    rows = staged(spark, rows, "fresh")
+    return rows.drop("__hash"), rows.select("__hash")
+
+
+def commit_keys(keys: DataFrame, state: str) -> None:
+    """Add the keys of a run whose output is written."""
+    keys.write.mode("append").parquet(state)
 
 
 def bands_for(threshold: float, permutations: int = PERMUTATIONS) -> tuple[int, int]:
@@ -136,8 +140,11 @@ def greedy_by_pairs(spark: SparkSession, nodes: DataFrame, pairs: DataFrame, ord
     return nodes.join(gone.withColumnRenamed("o", order), order, "left_anti")
 
 
-def semantic_pairs(df: DataFrame, order: str, vector: str, threshold: float = 0.9, bits: int = 64, bands: int = 8) -> DataFrame:
-    """Pairs (a < b) with an equal band of hyperplane signs and a cosine of at least the threshold."""
+def semantic_pairs(df: DataFrame, order: str, vector: str, threshold: float = 0.9, bits: int = 64, bands: int = 8, block: int = 4096) -> DataFrame:
+    """Pairs (a < b) with an equal band of hyperplane signs and a cosine of at least the threshold.
+
+    A bucket is cut into blocks of about `block` vectors by a hash; every two blocks are one task's matrix product, so no
+    pair below the threshold is ever a row, and no bucket is one task's."""
     per = bits // bands
 
     @arrow_udf("struct<unit:array<float>,keys:array<int>>")
@@ -153,11 +160,35 @@ def semantic_pairs(df: DataFrame, order: str, vector: str, threshold: float = 0.
             out.append({"unit": x.tolist(), "keys": (signs @ (1 << np.arange(per))).tolist()})
         return pa.array(out, pa.struct([("unit", pa.list_(pa.float32())), ("keys", pa.list_(pa.int32()))]))
 
-    d = df.select(F.col(order).alias("o"), run.asNondeterministic()(F.col(vector)).alias("r")).select("o", "r.unit", F.posexplode("r.keys").alias("band", "key"))
-    a, b = d.alias("a"), d.alias("b")
-    dot = F.aggregate(F.zip_with("a.unit", "b.unit", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    both = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.o") < F.col("b.o")))
-    return both.where(dot >= threshold).select(F.col("a.o").alias("a"), F.col("b.o").alias("b")).distinct()
+    def products(t: pa.Table) -> pa.Table:
+        o, own, width = t["o"].to_numpy(), t["own"].to_numpy(), t["width"].to_numpy()
+        found = []
+        for w in np.unique(width):  # vectors of other lengths aren't alike
+            at = np.flatnonzero(width == w)
+            unit = np.stack(t["unit"].take(at).to_pylist()).astype(np.float64)
+            left = at if t["i"][0].as_py() == t["j"][0].as_py() else at[own[at] == t["i"][0].as_py()]
+            row = {k: n for n, k in enumerate(at.tolist())}
+            for s in range(0, len(left), 512):
+                mine = left[s : s + 512]
+                near = unit[[row[k] for k in mine.tolist()]] @ unit.T >= threshold
+                if len(left) < len(at):
+                    near &= (own[at] != own[mine][0])[None, :]
+                x, y = np.nonzero(near)
+                found.append(np.stack([o[mine[x]], o[at[y]]], axis=1))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    spark = df.sparkSession
+    d = df.select(F.col(f"`{order}`").cast("long").alias("o"), run.asNondeterministic()(F.col(f"`{vector}`")).alias("r")).select("o", "r.unit", "r.keys")
+    d = staged(spark, d, "units")
+    keys = d.select("o", F.posexplode("keys").alias("band", "key"))
+    sizes = keys.groupBy("band", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = keys.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("o"), F.col("blocks")).cast("int"))
+    each = own.select("o", "band", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    each = each.select("o", "band", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    wide = each.join(d.select("o", "unit", F.size("unit").alias("width")), "o")
+    return wide.groupBy("band", "key", "i", "j").applyInArrow(products, "a long, b long").distinct()
 
 
 def semantic_dedup(spark: SparkSession, df: DataFrame, order: str, vector: str, threshold: float = 0.9) -> DataFrame:

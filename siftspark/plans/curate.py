@@ -94,6 +94,13 @@ class Run:
 
     rows: DataFrame
     pseudonyms: DataFrame | None = None
+    keys: DataFrame | None = None
+    state: str | None = None
+
+    def commit(self) -> None:
+        """Remember the kept records' keys for later runs; call it when the output is written."""
+        if self.keys is not None and self.state:
+            dedup.commit_keys(self.keys, self.state)
 
 
 def annotate(spark: SparkSession, df: DataFrame, cfg: CurationConfig, order: str, refs: DataFrame | None = None) -> DataFrame:
@@ -109,7 +116,7 @@ def run(spark: SparkSession, df: DataFrame, cfg: CurationConfig, order: str, ref
     cfg.validate()
     if clash := [c for c in df.columns if c in SYSTEM and c not in (order, "_ord", "_malformed")]:
         raise ConfigError(f"fields with reserved names: {', '.join(clash)}")
-    table = None
+    table = keys = None
     d, parked = sanitize(project(df, cfg), cfg, (order,) if order in SYSTEM else ())
     if parked:
         d = staged(spark, d, "parked")
@@ -146,8 +153,8 @@ def run(spark: SparkSession, df: DataFrame, cfg: CurationConfig, order: str, ref
         d = d.withColumn("_reason", F.coalesce("_reason", F.concat(F.lit("chat:"), bad)))
     if refs is not None:
         grams = decontam.reference_grams(refs, n=cfg.decontam_ngram)
-        hits = decontam.contamination(d.where("_reason IS NULL"), order, "_qtext", grams, cfg.decontam_min_hits).select(order, F.lit(True).alias("_hit"))
-        d = d.join(hits, order, "left").withColumn("_reason", F.coalesce("_reason", F.when(F.col("_hit"), "contaminated"))).drop("_hit")
+        hits = decontam.contamination(d.where("_reason IS NULL"), order, "_qtext", grams, cfg.decontam_min_hits).select(order, F.lit(True).alias("__hit"))
+        d = d.join(hits, order, "left").withColumn("_reason", F.coalesce("_reason", F.when(F.col("__hit"), "contaminated"))).drop("__hit")
     if cfg.quality_min_score is not None or cfg.keep_top_percent is not None or cfg.quality_score_field:
         d = score.with_score(d, "_qtext") if cfg.scorer == "heuristic" else d.withColumn("_score", score.perplexity_score(cfg.perplexity(q)))
     if cfg.quality_min_score is not None:
@@ -158,8 +165,8 @@ def run(spark: SparkSession, df: DataFrame, cfg: CurationConfig, order: str, ref
 
     def only(kept: DataFrame, what: str) -> DataFrame:
         """Marks rows without a reason that `kept` (by order) lacks."""
-        k = kept.select(order).withColumn("_in", F.lit(True))
-        return d.join(k, order, "left").withColumn("_reason", F.coalesce("_reason", F.when(F.col("_in").isNull(), what))).drop("_in")
+        k = kept.select(order).withColumn("__in", F.lit(True))
+        return d.join(k, order, "left").withColumn("_reason", F.coalesce("_reason", F.when(F.col("__in").isNull(), what))).drop("__in")
 
     open_rows = d.where("_reason IS NULL")
     if cfg.semantic_dedup:
@@ -168,12 +175,15 @@ def run(spark: SparkSession, df: DataFrame, cfg: CurationConfig, order: str, ref
         d = only(dedup.fuzzy_dedup(spark, open_rows, order, "_qtext", cfg.fuzzy_threshold), "duplicate")
     elif cfg.deduplicate:
         key = dedup.record_hash(open_rows, cfg.dedup_fields, cfg.dedup_normalize, SYSTEM)
-        rows = dedup.durable_dedup(spark, open_rows, order, key, cfg.dedup_state) if cfg.dedup_state else dedup.exact_dedup(open_rows, order, key)
+        if cfg.dedup_state:
+            rows, keys = dedup.durable_dedup(spark, open_rows, order, key, cfg.dedup_state)
+        else:
+            rows = dedup.exact_dedup(open_rows, order, key)
         d = only(rows, "duplicate")
     if cfg.keep_top_percent is not None:
         d = staged(spark, d, "deduplicated")
         d = only(select.top_percent(d.where("_reason IS NULL"), "_score", order, cfg.keep_top_percent), "low_score")
-    return Run(d, table)
+    return Run(d, table, keys, cfg.dedup_state)
 
 
 def kept(rows: DataFrame, cfg: CurationConfig) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..config import ConfigError
 from ..functions.text import strip
+from ..operators.decontam import REGISTRY
 
 FORMATS = ("jsonl", "json", "csv", "tsv", "txt", "parquet", "xlsx", "xls")
 
@@ -40,9 +41,8 @@ def read_records(spark: SparkSession, path: str, input_format: str | None = None
     schema = o.get("schema")
     if kind == "parquet":
         return with_order(spark.read.parquet(path))
-    if kind == "jsonl":  # blank and undecodable lines are skipped and not counted
-        r = spark.read.option("mode", "DROPMALFORMED")
-        return with_order((r.schema(schema) if schema else r).json(path))
+    if kind == "jsonl":
+        return with_order(_json_lines(spark, path, schema))
     if kind == "json":
         d = (spark.read.schema(schema) if schema else spark.read).option("multiLine", True).json(path)
         steps = [p for p in (o.get("json_path") or "item").split(".") if p != "item"]
@@ -57,13 +57,32 @@ def read_records(spark: SparkSession, path: str, input_format: str | None = None
     return _excel(spark, path, o.get("sheet", 0))
 
 
+def _json_lines(spark: SparkSession, path: str, schema: str | T.StructType | None) -> DataFrame:
+    """A row a line. Blank lines and what isn't JSON are skipped; JSON that is no object is a row with _malformed."""
+    if schema is None:
+        schema = spark.read.option("mode", "DROPMALFORMED").json(path).schema
+    d = spark.read.text(path).where(F.try_parse_json("value").isNotNull())
+    d = d.select((~strip(F.col("value")).startswith("{")).alias("_malformed"), "value")
+    record = F.from_json(F.when(~F.col("_malformed"), F.col("value")), schema)
+    return d.select(record.alias("__r"), "_malformed").select("__r.*", "_malformed")
+
+
 def _delimited(spark: SparkSession, path: str, sep: str, header: bool, columns: list[str] | None) -> DataFrame:
-    """All values are strings; `columns` name the fields (with a header they replace it); unnamed files get col_0, col_1."""
-    d = spark.read.csv(path, sep=sep, header=header, inferSchema=False, multiLine=True, quote='"', escape='"')
-    if columns:
-        width = len(d.columns)
-        return d.toDF(*[columns[i] if i < len(columns) else f"_extra_{i}" for i in range(width)])
-    return d if header else d.toDF(*[f"col_{i}" for i in range(len(d.columns))])
+    """All values are strings; `columns` name the fields (with a header they replace it); unnamed files get col_0, col_1.
+    Cells beyond the names are a list _extra, where a file has any."""
+    read = lambda **o: spark.read.options(sep=sep, header=header, multiLine=True, quote='"', escape='"').csv(path, **o)
+    found = read(inferSchema=False).columns
+    names = columns or (found if header else [f"col_{i}" for i in range(len(found))])
+    more = 4
+    while True:  # the cells beyond the names of the widest row
+        d = read(schema=T.StructType([T.StructField(n, T.StringType()) for n in [*names, *(f"__x{i}" for i in range(more))]]), enforceSchema=True)
+        if d.where(F.col(f"__x{more - 1}").isNotNull()).isEmpty():
+            break
+        more *= 4
+    extra = F.array_compact(F.array(*[f"__x{i}" for i in range(more)]))
+    d = d.withColumn("_extra", F.when(F.size(extra) > 0, extra))
+    keep = [F.col(f"`{n}`") for n in names]
+    return d.select(*keep, "_extra") if not d.where("_extra IS NOT NULL").isEmpty() else d.select(*keep)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -122,3 +141,18 @@ def reference_texts(df: DataFrame) -> DataFrame:
     parts = [flat(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if not f.name.startswith("_")]
     d = df.select(F.explode(F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts]))).alias("text"))
     return d.where(strip(F.col("text")) != "")
+
+
+def benchmark_refs(spark: SparkSession, names: list[str], cache: str) -> DataFrame:
+    """The texts of benchmarks of the registry that are staged as Parquet below cache/owner/name/config/split."""
+    out = None
+    for name in names:
+        repo, parts, wanted = REGISTRY[name]
+        for config, split in parts:
+            d = read_hub(spark, f"hf://{repo}/{config}/{split}", cache)
+            got = [d.select(F.col(f).cast("string").alias("text")) for f in wanted if f in d.columns]
+            for one in got:
+                out = one if out is None else out.union(one)
+    if out is None:
+        raise ConfigError("none of these benchmarks has a text field")
+    return out.where(strip(F.col("text")) != "")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from ..config import ConfigError
 from ..operators import select
+from ..operators.stats import SYSTEM
 from .readers import format_of
 
 
@@ -39,13 +40,13 @@ def write_file(df: DataFrame, path: str, order: str, output_format: str | None =
         return df.count()
     if kind in ("xlsx", "xls"):
         try:
-            df.orderBy(order).drop(*[c for c in df.columns if c.startswith("_")]).toPandas().to_excel(path, index=False)
+            df.orderBy(order).drop(*[c for c in df.columns if c in SYSTEM]).toPandas().to_excel(path, index=False)
         except ImportError as e:
             raise ConfigError(f"Excel files need a library that isn't here: {e}") from e
         return df.count()
     if append and kind not in ("jsonl", "txt", "csv"):
         raise ConfigError(f"{kind} files can't be appended to")
-    names = [c for c in df.columns if not c.startswith("_")]
+    names = [c for c in df.columns if c not in SYSTEM]
     opener = gzip.open if path.endswith(".gz") else open
     to = path if append else path + ".tmp"
     header = None
@@ -84,7 +85,7 @@ def write_file(df: DataFrame, path: str, order: str, output_format: str | None =
 
 def write_folder(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite") -> None:
     """A folder of part files, which is the sink for large results."""
-    d = df.drop(*[c for c in df.columns if c.startswith("_")])
+    d = df.drop(*[c for c in df.columns if c in SYSTEM])
     w = d.write.mode(mode)
     {"parquet": w.parquet, "jsonl": lambda p: w.option("ignoreNullFields", "false").json(p), "csv": lambda p: w.option("header", True).csv(p)}[kind](path)
 
@@ -92,13 +93,13 @@ def write_folder(df: DataFrame, path: str, kind: str = "parquet", mode: str = "o
 def write_shards(df: DataFrame, path: str, order: str, size: int) -> DataFrame:
     """Folders _shard=N of exactly `size` rows in order."""
     d = select.shards(df, order, size)
-    d.repartition("_shard").sortWithinPartitions(order).write.mode("overwrite").partitionBy("_shard").option("ignoreNullFields", "false").json(path)
+    d.repartition("_shard").sortWithinPartitions(order).drop(*SYSTEM).write.mode("overwrite").partitionBy("_shard").option("ignoreNullFields", "false").json(path)
     return d
 
 
 def write_splits(df: DataFrame, path: str, order: str, spec: str, seed: int = 0) -> DataFrame:
     d = select.split(df, order, spec, seed)
-    d.write.mode("overwrite").partitionBy("_split").option("ignoreNullFields", "false").json(path)
+    d.drop(*SYSTEM).write.mode("overwrite").partitionBy("_split").option("ignoreNullFields", "false").json(path)
     return d
 
 
@@ -110,6 +111,19 @@ def write_summary(stats: dict, path: str) -> None:
     os.replace(path + ".tmp", path)
 
 
+def write_names(table: DataFrame, path: str) -> int:
+    """The table of pseudonyms as one JSON object value -> pseudonym, written as it streams in. Returns its size."""
+    n = 0
+    with open(path + ".tmp", "w", encoding="utf-8") as f:
+        f.write("{")
+        for r in table.orderBy("kind", "n").select("value", "pseudonym").toLocalIterator(prefetchPartitions=True):
+            f.write((",\n" if n else "\n") + json.dumps(r["value"], ensure_ascii=False) + ": " + json.dumps(r["pseudonym"]))
+            n += 1
+        f.write("\n}")
+    os.replace(path + ".tmp", path)
+    return n
+
+
 def null_sink(df: DataFrame) -> None:
     """Runs the plan and writes nothing."""
     df.write.format("noop").mode("overwrite").save()

@@ -99,7 +99,15 @@ def test_fuzzy_keeps_what_resembles_a_dropped_row_only(spark):
 def test_durable_dedup(spark, tmp_path):
     d = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id long, t string")
     state = str(tmp_path / "keys")
-    run = lambda x: sorted(r["id"] for r in dedup.durable_dedup(spark, x, "id", dedup.record_hash(x, ["t"]), state).collect())
+
+    def run(x, commit=True):
+        rows, keys = dedup.durable_dedup(spark, x, "id", dedup.record_hash(x, ["t"]), state)
+        out = sorted(r["id"] for r in rows.collect())
+        if commit:
+            dedup.commit_keys(keys, state)
+        return out
+
+    assert run(d, commit=False) == [1, 3]  # a run that died before its output
     assert run(d) == [1, 3]
     assert run(d.union(spark.createDataFrame([(9, "c")], d.schema))) == [9]
 
@@ -163,3 +171,89 @@ def test_stream(spark, tmp_path):
         assert spark.table("kept").count() == 1
     finally:
         q.stop()
+
+
+def test_nested_records(spark):
+    """Strings in lists, structs and maps are cleaned, redacted and counted; other values and user columns stay."""
+    rows = [(1, GOOD, [" a  b@c.org ", None], {"k": "call 212-555-0199"}, ([("x\tz 10.1.2.3", 7)],), "u", None), (2, GOOD + " More.", None, None, None, "v", True)]
+    d = spark.createDataFrame(rows, "id long, text string, tags array<string>, m map<string,string>, deep struct<items:array<struct<t:string,n:int>>>, _mine string, flag boolean")
+    out = {r["id"]: r for r in curate.annotate(spark, d, resolve({"remove_pii": True, "text_fields": ["text"]}), "id").collect()}
+    assert out[1]["tags"] == ["a [PII_EMAIL]", None] and out[1]["m"] == {"k": "call [PII_PHONE]"}
+    assert out[1]["deep"]["items"][0].asDict() == {"t": "x z [PII_IP]", "n": 7} and out[2]["deep"] is None and out[2]["flag"] is True
+    assert out[1]["_pii"]["email"] == out[1]["_pii"]["phone"] == out[1]["_pii"]["ip"] == 1 and out[2]["_pii"]["email"] == 0
+    assert "_mine" in curate.curate(spark, d, resolve({}), "id").columns
+    with pytest.raises(ConfigError):
+        curate.annotate(spark, d.withColumn("_score", F.lit(1)), resolve({}), "id")
+    kept = curate.annotate(spark, d, resolve({"remove_pii": True, "pii_only": ["tags"], "no_clean": ["m"], "max_tokens": 2, "min_words": 0, "min_chars": 0}), "id").where("id = 1").first()
+    assert kept["tags"][0] == " a  [PII_EMAIL] " and kept["m"]["k"] == "call 212-555-0199" and kept["text"] == "The quick"
+
+
+def test_pseudonyms_over_fields_and_depths(spark):
+    rows = [(1, "ann@x.org", "bob@y.org and ann@x.org", ("eve@z.org",)), (2, "bob@y.org", "x", None)]
+    d = spark.createDataFrame(rows, "id long, a string, b string, c struct<d:string>")
+    done = curate.run(spark, d, resolve({"remove_pii": True, "pii_pseudonymize": True, "min_chars": 0, "min_words": 0}), "id")
+    names = {r["value"]: r["pseudonym"] for r in done.pseudonyms.collect()}
+    assert names == {"ann@x.org": "email_0001@redacted.local", "bob@y.org": "email_0002@redacted.local", "eve@z.org": "email_0003@redacted.local"}
+    out = {r["id"]: r for r in done.rows.collect()}
+    assert (out[1]["a"], out[1]["b"], out[1]["c"]["d"]) == (names["ann@x.org"], f"{names['bob@y.org']} and {names['ann@x.org']}", names["eve@z.org"])
+    assert out[2]["a"] == names["bob@y.org"] and out[1]["_pii"]["email"] == 4
+
+
+def test_chat_records_in_a_run(spark):
+    cfg = resolve({"validate_chat": True, "min_chars": 0, "min_words": 0, "min_unique_ratio": 0.0})
+    talk = lambda *m: (1, [dict(zip(("role", "content"), x)) for x in m])
+    kind = "id long, messages array<struct<role:string,content:string>>"
+    reason = lambda d: curate.annotate(spark, d, cfg, "id").first()["_reason"]
+    assert reason(spark.createDataFrame([talk(("user", "Hi  there"), ("assistant", "Hello you"))], kind)) is None
+    assert reason(spark.createDataFrame([talk(("user", "Hi there"), ("robot", "Hello"))], kind)) == "chat:unknown_role"
+    assert reason(spark.createDataFrame([(1, "not a list of messages")], "id long, messages string")) == "chat:messages_not_a_list"
+    assert reason(spark.createDataFrame([(1, ["just strings here"])], "id long, messages array<string>")) == "chat:bad_message_schema"
+    assert reason(spark.createDataFrame([(1, "other words")], "id long, text string")) == "chat:missing_messages"
+
+
+def test_malformed_lines_and_surplus_cells(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"text": "' + GOOD + '"}\nnot json\n\n42\n["a"]\n{"text": null}\n')
+    d = readers.read_records(spark, str(tmp_path / "x.jsonl"))
+    out = curate.annotate(spark, d, resolve({}), "_ord")
+    assert sorted(str(r["_reason"]) for r in out.collect()) == ["None", "malformed", "malformed", "quality"]
+    (tmp_path / "x.csv").write_text("a,b\n1,2\n3\n4,5,6,7,8,9,10,11\n")
+    rows = [r.asDict() for r in readers.read_records(spark, str(tmp_path / "x.csv")).drop("_ord").collect()]
+    assert rows == [{"a": "1", "b": "2", "_extra": None}, {"a": "3", "b": None, "_extra": None}, {"a": "4", "b": "5", "_extra": ["6", "7", "8", "9", "10", "11"]}]
+
+
+def test_semantic_pairs_equal_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    base = r.normal(size=(40, 16))
+    x = np.concatenate([base, base + 0.1 * r.normal(size=base.shape), base + 0.15 * r.normal(size=base.shape)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if u[i] @ u[j] >= 0.9}
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    for block in (4096, 16):
+        got = {tuple(p) for p in dedup.semantic_pairs(d, "id", "v", block=block).collect()}
+        assert got <= want and len(got) >= 0.9 * len(want)  # pairs at 0.9 share a band with odds of 0.93 or more
+    kept = []
+    for i in range(120):
+        if not any((k, i) in got for k in kept):
+            kept.append(i)
+    assert sorted(r["id"] for r in dedup.semantic_dedup(spark, d, "id", "v").collect()) == kept
+
+
+def test_fuzzy_dedup_equals_a_loop(spark):
+    import random
+
+    r = random.Random(2)
+    texts = [" ".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(30)]
+    for i in range(60):
+        w = texts[r.randrange(len(texts))].split()
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            w[r.randrange(60)] = f"n{i}"
+        texts.append(" ".join(w))
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    keys = {x["id"]: set(enumerate(x["k"])) for x in d.select("id", dedup.band_keys(0.8)(F.col("t")).alias("k")).collect()}
+    kept = []
+    for i in range(len(texts)):
+        if not any(keys[i] & keys[k] for k in kept):
+            kept.append(i)
+    assert sorted(x["id"] for x in dedup.fuzzy_dedup(spark, d, "id", "t").collect()) == kept and len(kept) < 90
