@@ -457,3 +457,57 @@ def test_steps_on_odd_rows(spark, docs, empty):
         assert step(spark, docs, SF).columns == docs.columns
         assert step(spark, empty, SF).count() == 0
     assert stages.drop_near_copies(spark, docs, SF).count() == len({r[1] or "" for r in ROWS})
+
+
+def test_op3_features_equal_a_loop():
+    """Words, neighbouring pairs and byte n-grams, each in the bucket that a plain loop gives."""
+    from siftspark.llm.common import mix
+
+    one = lambda f: int(f) % quality.BUCKETS
+    for text in ("", "a", "the the old ünder  house\nis", "x y"):
+        body = text.encode()
+        words = [word_hashes(np.frombuffer(w, np.uint8))[0] for w in re.findall(rb"[^\x20\x09-\x0D]+", body)]
+        want = [one(int(w) >> 40) for w in words]
+        for a, b in zip(words, words[1:]):
+            pair = mix(np.array([a], np.uint64) * np.uint64(3) + np.array([b], np.uint64))[0]
+            want.append(quality.SAME if a == b else one(int(pair) >> 40))
+        for n in quality.NGRAMS:
+            for i in range(len(body) - n + 1):
+                h = n
+                for c in body[i : i + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+                want.append(one((h * 0x9E3779B1 & 0xFFFFFFFF) >> 8))
+        assert Counter(quality.features(np.frombuffer(body, np.uint8)).tolist()) == Counter(want), text
+
+
+def test_op10_matcher_equals_a_loop():
+    """Whole words and prefixes, exceptions and folding, against a search by regular expressions."""
+    lexicon = {"vile": 2.0, "scum*": 1.5, "idiot*": 3.0, "clown": 1.0}
+    m = toxicity.Matcher(lexicon)
+    r = random.Random(7)
+    parts = ["vile", "v1le", "viler", "scum", "scumbag", "idiot", "1D10T5", "idiot proof", "clown", "clown fish", "a", "the", ",", "\n", "ЅСUM", "revile"]
+    for _ in range(300):
+        text = " ".join(r.choices(parts, k=r.randint(0, 8)))
+        body = f" {toxicity.fold(text)} "
+        free = [(x.start(), x.start() + len(e) + 2) for e in toxicity.EXCEPTIONS for x in re.finditer(f"(?= {e} )", body)]
+        hits = []
+        for e, w in lexicon.items():
+            pattern = f" {e[:-1]}" if e.endswith("*") else f" {e} "
+            hits += [(x.start(), x.start() + len(pattern), w) for x in re.finditer(f"(?={pattern})", body)]
+        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in free)]
+        total, _, n = m.features(text)
+        assert n == len(hits) and abs(total - sum(h[2] for h in hits)) < 1e-9, text
+
+
+def test_op9_columns(spark, docs):
+    """Every column against the text; equal texts have equal values, and the stored form of a long text holds its bytes."""
+    got = media.media_columns(spark, docs).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["payload_sha256"], set()).add((r["n_bytes"], r["payload_bytes"], r["tail_crc32"], r["media_bytes"], r["media_sha256"], r["feature"]))
+    assert all(len(v) == 1 for v in by.values()) and len(by) == len({x[1] or "" for x in ROWS})
+    for x in ROWS:
+        body = (x[1] or "").encode()
+        full = body + bytes(-len(body) % 64 if body else 64)
+        n, size, tail, *_ = next(iter(by[hashlib.sha256(full).hexdigest()]))
+        assert (n, size, tail) == (len(body), len(full), zlib.crc32(full[-64:]))
