@@ -257,3 +257,20 @@ def test_fuzzy_dedup_equals_a_loop(spark):
         if not any(keys[i] & keys[k] for k in kept):
             kept.append(i)
     assert sorted(x["id"] for x in dedup.fuzzy_dedup(spark, d, "id", "t").collect()) == kept and len(kept) < 90
+
+
+def test_batches_are_turned_in_slices(spark):
+    """No more than a slice of a batch is Python values at one time, whatever the texts' length; a long row is alone."""
+    import pyarrow as pa
+
+    v = pa.array(["a" * 300_000] * 9 + ["b" * 3_000_000] + [None, "c"] * 900)[1:]
+    parts = list(text.slices(v))
+    assert pa.concat_arrays(parts).equals(v)
+    assert all(len(x) <= text.SLICE_ROWS and (x.nbytes <= text.SLICE_BYTES or len(x) == 1) for x in parts)
+
+    @text.in_slices("long")
+    def seen(x):
+        return pa.array([len(x)] * len(x), pa.int64())
+
+    d = spark.range(0, 3000, 1, 2).select("id", F.repeat(F.lit("x"), 5000).alias("t"))
+    assert d.select(seen("t").alias("n")).agg(F.max("n")).first()[0] <= text.SLICE_BYTES // 5000
