@@ -274,3 +274,18 @@ def test_batches_are_turned_in_slices(spark):
 
     d = spark.range(0, 3000, 1, 2).select("id", F.repeat(F.lit("x"), 5000).alias("t"))
     assert d.select(seen("t").alias("n")).agg(F.max("n")).first()[0] <= text.SLICE_BYTES // 5000
+
+
+def test_a_run_turns_batches_in_slices_and_stages_once(spark, monkeypatch):
+    """All string fields of a record in one function over slices; a table is staged twice only where a second Python step follows."""
+    names = []
+    real = curate.staged
+    monkeypatch.setattr(curate, "staged", lambda s, d, name: names.append((name, d)) or real(s, d, name))
+    d = spark.range(0, 1500, 1, 1).select("id", F.concat(F.lit(GOOD + " mail a@b.org "), F.col("id")).alias("text"), F.array(F.lit("c@d.org")).alias("tags"))
+    out = curate.annotate(spark, d, resolve({"remove_pii": True, "text_fields": ["text"]}), "id")
+    assert [n for n, _ in names] == ["judged"] and out.where("_reason IS NULL AND _pii.email = 2 AND tags[0] = '[PII_EMAIL]'").count() == 1500
+    plan = names[0][1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    names.clear()
+    curate.annotate(spark, d, resolve({"remove_pii": True, "quality_min_score": 0.1}), "id")
+    assert [n for n, _ in names] == ["sanitized", "judged"]
