@@ -289,3 +289,37 @@ def test_a_run_turns_batches_in_slices_and_stages_once(spark, monkeypatch):
     names.clear()
     curate.annotate(spark, d, resolve({"remove_pii": True, "quality_min_score": 0.1}), "id")
     assert [n for n, _ in names] == ["sanitized", "judged"]
+
+
+def test_quick_ways_equal_the_patterns(spark):
+    """Needs, shared needs, blanks around line feeds and texts without tags give what the plain patterns give."""
+    import random
+    import re
+
+    r = random.Random(7)
+    bits = [" ", "  ", "\t", "\n", "\n\n", "\r", "\x00", "a", "é", "٤٥٦٧", "1", "4111 1111 1111 1234", "212-555-0199", "10.1.2.3", "+49 30 1234 5678", "b@x.org", "www.x.org", "http://u:p@h.x/y", "ghp_" + "a" * 36, "gh", "ToKeN: abcdefgh12", "API_KEY=abcdefgh12", "Bearer " + "c" * 20, "’", "²", "４２"]
+    plain = lambda t: re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", re.sub(r"[ \t]+", " ", re.sub(r"[\x00-\x08\x0B-\x1F\x7F-\x9F]", " ", __import__("unicodedata").normalize("NFKC", t))))).strip()
+    for _ in range(4000):
+        t = "".join(r.choice(bits) for _ in range(r.randrange(14)))
+        assert text.clean(t) == plain(t) and text.clean(t, True) == plain(t)
+        for rules in (redact.PII, redact.SECRETS):
+            want, counts, got = t, {}, {}
+            for p, token, kind, _ in rules:
+                want, n = redact.python_pattern(p).subn(lambda _, x=token: x, want)
+                counts |= {kind: counts.get(kind, 0) + n} if n else {}
+            assert redact.Chain(rules)(t, got) == want and got == counts
+
+
+def test_equal_strings_are_turned_once(spark, tmp_path):
+    """A text that a record holds in several places, or several records hold, meets the patterns once a slice, and counts in each."""
+    log = str(tmp_path / "seen")
+
+    def names(t):
+        with open(log, "a") as f:
+            f.write("x")
+        return [(0, 3, "PERSON")] if t.startswith("Ann") else []
+
+    d = spark.range(0, 50, 1, 1).select("id", F.lit("Ann is here").alias("a"), F.array(F.lit("Ann is here"), F.lit("no")).alias("b"))
+    out = curate.annotate(spark, d, resolve({"remove_pii": True, "ner": names}), "id").select("a", "b", "_pii.person").collect()
+    assert {(r["a"], *r["b"], r["person"]) for r in out} == {("[PII_PERSON] is here", "[PII_PERSON] is here", "no", 2)}
+    assert len(open(log).read()) == 2
