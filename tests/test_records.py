@@ -323,3 +323,47 @@ def test_equal_strings_are_turned_once(spark, tmp_path):
     out = curate.annotate(spark, d, resolve({"remove_pii": True, "ner": names}), "id").select("a", "b", "_pii.person").collect()
     assert {(r["a"], *r["b"], r["person"]) for r in out} == {("[PII_PERSON] is here", "[PII_PERSON] is here", "no", 2)}
     assert len(open(log).read()) == 2
+
+
+def test_window_hashes_follow_the_words(spark):
+    """Windows have the words of words_of(), none spans two texts, and equal windows alone have equal hashes."""
+    import random
+
+    r = random.Random(3)
+    bits = ["a", "b", "Ab", "É", "ß", "_", "’", " ", "  ", "\n", "\u00a0", ", ", "9", "İ", "٣", "\x1c", "-"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(600)]
+    w = decontam.Windows(texts)
+    seen = {}
+    for k in (1, 2, 4):
+        at, h = w.hashes(k)
+        got = [(int(w.of[i]), w.gram(i, k)) for i in at.tolist()]
+        assert got == [(n, " ".join(x[i : i + k])) for n, x in enumerate(map(decontam.words_of, texts)) for i in range(len(x) - k + 1)]
+        for (_, g), x in zip(got, h.tolist()):
+            assert seen.setdefault((k, g), x) == x
+        assert len({x for (j, _), x in seen.items() if j == k}) == sum(j == k for j, _ in seen)
+    assert len(decontam.Windows(["", " "]).hashes(2)[0]) == 0 and len(decontam.Windows([""]).words) == 0
+
+
+def test_score_equals_plain_patterns():
+    import random
+    import re
+
+    r = random.Random(4)
+    bits = ["the ", "of", "Word, ", "É", "Σ ", "x_y ", "!", "\n", "\r\n", "\x1c", "\u2028", " ", "a1 ", "“q” ", "٣ ", "same line\n"]
+    for _ in range(2000):
+        t = "".join(r.choice(bits) for _ in range(r.randrange(40)))
+        assert score._signs(t) == len(re.findall(r"[^\w\s]|_", t))
+        lines = [x for x in map(str.strip, re.split("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", t)) if x]
+        assert [x for x in map(str.strip, t.splitlines()) if x] == lines
+
+
+def test_small_sets_of_dropped_rows_move_no_records(spark):
+    """Contaminated rows and copies are tables of known size, sent to the records: no record goes through a shuffle."""
+    d = spark.range(0, 400, 1, 4).select("id", F.concat(F.lit(GOOD + " "), (F.col("id") % 300).cast("string")).alias("text"))
+    refs = spark.createDataFrame([("jumps over the lazy dog and then it 7",), ("then it runs home to see what there is for dinner 5",)], "text string")
+    out = curate.annotate(spark, d, resolve({"deduplicate": True, "quality_min_score": 0.1, "dedup_fields": ["text"]}), "id", refs.where("text LIKE '%5'"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    d = d.withColumn("text", F.concat(F.lit("Some other words that stand in front of it here now. "), "text"))
+    got = {r["_reason"]: r["n"] for r in curate.annotate(spark, d, resolve({"deduplicate": True, "dedup_fields": ["text"]}), "id", spark.createDataFrame([("unseen words of a reference",)], "text string")).groupBy("_reason").agg(F.count("*").alias("n")).collect()}
+    assert got == {None: 300, "duplicate": 100}
